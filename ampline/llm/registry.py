@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampline.llm import decontaminate, dedup_runs, gif, simhash, token_counts
+from ampline.llm import curriculum, decontaminate, dedup_runs, gif, licenses, quality, simhash, surrogates, token_counts, wrappers
 from ampline.llm.common import small_batches, table
 
 
@@ -38,5 +38,54 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_media, op3_long_repeats, op4_decontamination, op5_simhash)}
-ORACLE: dict[str, str] = {}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = quality.held_out(F.col("doc_id"))
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_key(spark))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.curriculum(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrappers.extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def secret_key(spark: SparkSession) -> str:
+    """Key of the surrogates: ampline.pii.key of the session; a fixed one for trials where unset."""
+    return spark.conf.get("ampline.pii.key", "trial")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_media, op3_long_repeats, op4_decontamination, op5_simhash, op6_quality, op7_surrogates, op8_licenses, op9_curriculum, op10_main_text)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op4_decontamination": f"""
+with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+bw as (select distinct item, least(13, len(w)) as k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as win
+       from (select item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)),
+ks as (select distinct k from bw),
+dw as (select r, k, i, array_to_string(w[i:i + k - 1], ' ') as win
+       from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from d, ks where len(w) >= k)),
+h as (select dw.r, dw.i, dw.k, bw.item from dw join bw on dw.k = bw.k and dw.win = bw.win),
+n as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from h) group by r),
+it as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join n on d.r = n.r left join it on d.r = it.r""",
+}
