@@ -26,7 +26,7 @@ GRAM = 24
 #: Distinct spans around one anchor up to which one task indexes them together; beyond, windows are counted by hash.
 GROUP = 256
 #: Bytes of spans that one index covers (a group of spans is never split).
-BATCH = 1 << 20
+BATCH = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -181,7 +181,7 @@ class RunIndex:
             key = key << 9 | padded[j : j + n]
         ranks, step = [], 6
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
@@ -280,25 +280,52 @@ def _index_rows(length: int, batch: int):
     return rows
 
 
-def _window_rows(length: int):
+def _block_rows(length: int, gram: int, block: int):
+    """Windows of a span in blocks by their place against the anchor; equal windows of two spans are in equal blocks."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 2048):
                 sub = pdf.iloc[i : i + 2048]
                 sizes = sub["raw"].str.len().to_numpy()
-                ends = np.cumsum(sizes)
+                begins = np.cumsum(sizes) - sizes
                 h = Hashes(np.frombuffer(b"".join(sub["raw"]), np.uint8))
+                own = np.repeat(np.arange(len(sub)), sizes)
+                grams = h.grams(gram).view(np.int64)
+                hit = np.flatnonzero(grams == sub["anchor"].to_numpy()[own[: len(grams)]])
+                part, first = np.unique(own[hit], return_index=True)
+                anchor = np.zeros(len(sub), np.int64)
+                anchor[part] = hit[first]  # the first place: an anchor is the leftmost of equal ones
                 counts = sizes - length + 1
-                part = np.repeat(np.arange(len(sub)), counts)
-                inner = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = (ends - sizes)[part] + inner
-                w = h.at(at, at + length)
-                copies = np.minimum(sub["n"].to_numpy(), 2)[part]
-                yield pd.DataFrame({"anchor": sub["anchor"].to_numpy()[part], "w": w.view(np.int64), "n": copies, "rid": sub["rid"].to_numpy()[part], "start": (sub["place"].to_numpy() >> PACK)[part] + inner})
+                span = np.repeat(np.arange(len(sub)), counts)
+                at = begins[span] + np.arange(len(span)) - np.repeat(np.cumsum(counts) - counts, counts)
+                w = h.at(at, at + length).view(np.int64)
+                number = (at - anchor[span]) // block
+                cut = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (number[1:] != number[:-1])]))
+                stop = np.append(cut[1:], len(at))
+                owner = span[cut]
+                whole = h.at(at[cut], at[stop - 1] + length) ^ number[cut].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                yield pd.DataFrame({"anchor": sub["anchor"].to_numpy()[owner], "w": whole.view(np.int64), "n": np.minimum(sub["n"].to_numpy(), 2)[owner], "rid": sub["rid"].to_numpy()[owner], "start": (sub["place"].to_numpy() >> PACK)[owner] + at[cut] - begins[owner], "kids": np.split(w, cut[1:])})
 
     return rows
 
 
+def counted_windows(parts: DataFrame, length: int, gram: int, block: int = 16) -> DataFrame:
+    """Marks (rid, start, end) in spans of groups of any size, by counting hashes of blocks of windows, then of windows.
+
+    A block that occurs twice is marked whole, by one row. Of a block's copies one goes on, as a partner for the
+    windows of blocks that occur once; those need no join to be found again, being their own copy.
+    """
+    blocks = stage(parts.mapInPandas(_block_rows(length, gram, block), "anchor long, w long, n long, rid long, start long, kids array<long>"))
+    kinds = blocks.groupBy("anchor", "w").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "start", "kids")).alias("one"))
+    twice = kinds.where("n > 1").select("anchor", "w")
+    whole = blocks.join(twice, ["anchor", "w"]).select("rid", "start", (F.col("start") + F.size("kids") - 1 + length).alias("end"))
+    kids = stage(kinds.select("anchor", F.least("n", F.lit(2)).alias("n"), "one.rid", "one.start", F.posexplode("one.kids").alias("i", "w")).select("anchor", "w", "n", "rid", (F.col("start") + F.col("i")).alias("start")))
+    again = kids.groupBy("anchor", "w").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
+    single = kids.where("n = 1").join(again, ["anchor", "w"]).select("rid", "start", (F.col("start") + length).alias("end"))
+    return whole.unionByName(single)
+
+
 def long_repeats(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, batch: int = BATCH) -> DataFrame:
     """Byte ranges of each text that are covered by strings of length bytes which also start elsewhere in the table.
 
@@ -317,16 +344,15 @@ def long_repeats(df: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     mixed = again.where("mixed").drop("mixed")
     kinds = stage(mixed.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("one")))
     copied = mixed.join(kinds.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("rid", "place")
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("m"))
+    # groups of which every span occurs more than once are marked already
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1").drop("least")
     ones = kinds.join(sizes, "anchor").select("anchor", "n", "m", "one.rid", "one.place")
     start, size = F.shiftright("place", PACK), F.col("place").bitwiseAND((1 << PACK) - 1)
     parts = stage(ones.join(docs, "rid").select("anchor", "n", "m", "rid", "place", F.substring("raw", start + 1, size).alias("raw")))
     marks = "rid long, start long, end long"
     few = parts.where(F.col("m") <= group).select("anchor", "rid", "place", "raw")
     indexed = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_index_rows(length, batch), marks)
-    windows = parts.where(F.col("m") > group).mapInPandas(_window_rows(length), "anchor long, w long, n long, rid long, start long")
-    twice = windows.groupBy("anchor", "w").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    counted = windows.join(twice, ["anchor", "w"]).select("rid", "start", (F.col("start") + length).alias("end"))
+    counted = counted_windows(parts.where(F.col("m") > group), length, gram)
     full = whole.unionByName(copied).select("rid", start.alias("start"), (start + size).alias("end"))
     return full.unionByName(indexed).unionByName(counted)
 
