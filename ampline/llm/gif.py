@@ -303,11 +303,12 @@ def store_texts(df: DataFrame, text_col: str = "text", out: str = "media") -> Da
     return df.withColumn(out, stored(F.col(text_col)))
 
 
-FRAME_TYPE = "struct<width:int,height:int,n_frames:int,duration_cs:int,payload:binary,histogram:array<array<bigint>>,error:string>"
+FRAME_TYPE = "struct<width:int,height:int,n_frames:int,duration_cs:int,payload:binary,histogram:array<bigint>,error:string>"
 
 
 def read_media(df: DataFrame, media_col: str = "media", out: str = "frames", composite: bool = False, keep_payload: bool = True) -> DataFrame:
-    """Add a struct column read back from GIF bytes: size, frame count, total delay, payload, one colour histogram per frame.
+    """Add a struct column read back from GIF bytes: size, frame count, total delay, payload, and the frames' colour
+    histograms one after another (3 channels of BINS counts each).
 
     Null bytes give null. Bytes that are no GIF, or a broken one, give a struct with null fields and the reason in
     error. composite: histograms of the canvas after disposal and transparency instead of each frame's own pixels.
@@ -329,7 +330,7 @@ def media_row(blob: bytes | None, composite: bool, keep_payload: bool) -> tuple:
     except (ValueError, IndexError, struct.error) as e:
         return (None, None, None, None, None, None, str(e) or "broken")
     payload = b"".join(f.indices.tobytes() for f in frames) if keep_payload else None
-    return (width, height, len(frames), sum(f.delay_cs for f in frames), payload, [histogram(f).tolist() for f in frames], None)
+    return (width, height, len(frames), sum(f.delay_cs for f in frames), payload, [int(n) for f in frames for n in histogram(f).ravel()], None)
 
 
 DIGEST_TYPE = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, feature string"
