@@ -388,12 +388,12 @@ def lag_features(s, d):
     return rounded(out.select("site", "ts", "total", "lag_1", "lag_24", "lag_168", "lag_ready"))
 
 
-_PF = "site, ts, round(total, 4) as total, round(lag_1, 4) as lag_1, round(lag_7, 4) as lag_7, round(lag_28, 4) as lag_28, round(rolling_mean_7, 4) as rolling_mean_7, rolling_count_7, round(rolling_mean_28, 4) as rolling_mean_28, rolling_count_28"
+_PF = "site, ts, round(total, 6) as total, round(lag_1, 6) as lag_1, round(lag_7, 6) as lag_7, round(lag_28, 6) as lag_28, round(rolling_mean_7, 6) as rolling_mean_7, rolling_count_7, round(rolling_mean_28, 6) as rolling_mean_28, rolling_count_28"
 
 
 @register(f"with {D} select {_PF}, (total is not null and rolling_count_7 = 7 and rolling_count_28 = 28)::int as rolling_ready from pf")
 def rolling_features(s, d):
-    return rounded(daily_features(s, d).drop("target_available", "lag_ready"))
+    return rounded(daily_features(s, d).drop("target_available", "lag_ready"), 6)
 
 
 @register(f"with {D} select site, sum((rolling_count_7 < 7)::int)::bigint as short_7, sum((rolling_count_28 < 28)::int)::bigint as short_28 from pf group by site")
