@@ -112,9 +112,6 @@ def try_cast_numeric(s, d):
     return read_table(s, d, "events").select("event_id", S.to_number(raw).alias("number"))
 
 
-_TYPES = ["click", "view", "purchase", "signup", "error"]
-
-
 def wide(s, d):
     h = hourly(s, d)
     names = sorted(r[0] for r in h.select("site").distinct().collect())  # one name a column of the result
@@ -265,9 +262,9 @@ def exo_grid(s, d):
 XG = f"{X}, xax as (select unnest(generate_series((select min(ts) from x), (select max(ts) from x), interval 1 day)) as ts), xd as (select k.site, xax.ts, x.price from (select distinct site from x) k cross join xax left join x on x.site = k.site and x.ts = xax.ts)"
 
 
-@register(f"with {XG}, m as (select site, quantile_cont(price, 0.5) as m from xd group by site) select xd.site, ts, round(coalesce(price, m.m, (select quantile_cont(price, 0.5) from xd)), 4) as price from xd left join m using (site)")
+@register(f"with {XG}, m as (select site, quantile_cont(price, 0.5) as m from xd group by site) select xd.site, ts, round(coalesce(price, m.m, (select quantile_cont(price, 0.5) from xd)), 6) as price from xd left join m using (site)")
 def impute_median(s, d):
-    return rounded(T.impute_median(exo_grid(s, d), "site", ["price"]))
+    return rounded(T.impute_median(exo_grid(s, d), "site", ["price"]), 6)
 
 
 @register(f"with {X} select site, round(quantile_cont(price, 0.5), 4) as median from x group by site")
@@ -310,9 +307,9 @@ def angle_to_vector(s, d):
     return out.select("event_id", *[(F.col(n) + F.lit(0.0)).alias(n) for n in ("wind_sin", "wind_cos")])
 
 
-@register(f"with {H} select site, ts::date as date, round(sum(total), 4) as total, round(avg(total), 4) as mean, round(min(total), 4) as least, round(max(total), 4) as most, max(active) as active, count(*) as hours from h group by site, ts::date")
+@register(f"with {H} select site, ts::date as date, round(sum(total), 6) as total, round(avg(total), 6) as mean, round(min(total), 6) as least, round(max(total), 6) as most, max(active) as active, count(*) as hours from h group by site, ts::date")
 def site_daily(s, d):
-    return rounded(P.site_daily(hourly(s, d)))
+    return rounded(P.site_daily(hourly(s, d)), 6)
 
 
 # ---- outliers ------------------------------------------------------------------------------------------------------
@@ -401,9 +398,9 @@ def incomplete_frames(s, d):
     return daily_features(s, d).groupBy("site").agg(F.count_if(F.col("rolling_count_7") < 7).alias("short_7"), F.count_if(F.col("rolling_count_28") < 28).alias("short_28"))
 
 
-@register(f"with {D}, {X} select pd.site, pd.ts, round(pd.total, 4) as total, round(x.price, 4) as price from pd left join x on x.site = pd.site and x.ts = pd.ts")
+@register(f"with {D}, {X} select pd.site, pd.ts, round(pd.total, 6) as total, round(x.price, 6) as price from pd left join x on x.site = pd.site and x.ts = pd.ts")
 def join_exogenous(s, d):
-    return rounded(P.enrich(T.densify(daily_panel(s, d), ["site"], "ts", "total", "1 day"), exogenous(s, d), ["site", "ts"]).select("site", "ts", "total", "price"))
+    return rounded(P.enrich(T.densify(daily_panel(s, d), ["site"], "ts", "total", "1 day"), exogenous(s, d), ["site", "ts"]).select("site", "ts", "total", "price"), 6)
 
 
 @register(f"with {D} select case when ts < timestamp '2000-01-01' then 'train' else 'test' end as part, count(*) as rows, count(distinct site) as sites from pf where total is not null and lag_1 is not null and lag_7 is not null and lag_28 is not null group by 1")
