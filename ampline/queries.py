@@ -526,7 +526,8 @@ def artifact_check(s, d):
 def _ready(s, d):
     f = daily_features(s, d).where("lag_ready = 1")
     f = f.withColumns(S.cyclical(F.month("ts") - 1, 12, "month") | {"actual": F.col("total"), "region": F.col("site").cast("string")})
-    return T.time_split(f, "ts", "2000-01-01 00:00:00")
+    # fitted and scored several times: a panel of a row per region and day
+    return T.time_split(f.persist(), "ts", "2000-01-01 00:00:00")
 
 
 _NUM = ["lag_1", "lag_7", "lag_28", "month_sin", "month_cos"]
