@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
 #: Bounds of a worker's caches: whole runs, and compiled transitions.
-MAX_RUNS, MAX_ARCS = 400_000, 250_000
+MAX_RUNS, MAX_ARCS = 600_000, 600_000
 
 # The file's special tokens, its split pattern, and the white space of Unicode.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -131,6 +131,9 @@ class Transducer:
                         break
             else:
                 raise ValueError(f"the vocabulary lacks a symbol of {text!r}")
+            if end:  # accepting: the word is over, so no state is needed
+                hit = self.arcs[state, symbol] = (0, delta)
+                return hit
             keep = self.longest
             key = (text[-keep:], (*tokens, token)[-keep:], (*[c - delta for c in counts], 0)[-keep:])
             nxt = self.ids.get(key)
@@ -159,7 +162,7 @@ class Transducer:
         return self.plain(text)
 
     def plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return sum(map(self.word, self.split.findall(text)))
 
     def pieces(self, text: str) -> list[str]:
