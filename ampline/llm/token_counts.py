@@ -1,7 +1,7 @@
 """Token counts by a compiled finite-state transducer.
 
-Inside a pre-token the byte-pair merges are compiled to a deterministic transducer: a state is what the last few
-prefixes' encodings end in, and each transition carries the number of tokens by which the encoding grows (negative
+Inside a pre-token the byte-pair merges are compiled to a deterministic transducer: a state is what the encodings of
+the prefixes that a later token can still follow end in, and each transition carries the number of tokens by which the encoding grows (negative
 where a merge swallows earlier tokens). States and transitions are compiled when first met. White space sends every
 state back to the start, so the state map of a chunk of text is (text before its first white space, tokens between,
 text after its last white space); such maps compose associatively, and a long text is cut into chunks whose maps are
@@ -59,7 +59,8 @@ class Transducer:
         self.made: dict[str, tuple[int, str, str]] = {}  # a token's merge: rank, left, right
         for i, (a, b) in enumerate(merges):
             self.made.setdefault(a + b, (i, a, b))
-        self.longest = max(len(v.removesuffix(END)) for v in self.vocab)
+        bodies = (v.removesuffix(END) for v in self.vocab)
+        self.begun = {""}.union(b[:i] for b in bodies for i in range(1, len(b)))  # what can go on to a token
         self.bytes = byte_symbols()
         self.split = regex.compile(SPLIT.replace(r"\s", SPACE))
         self.odd = regex.compile("[\x1c-\x1f]")
@@ -71,9 +72,10 @@ class Transducer:
 
     def reset(self) -> None:
         """Forget compiled states; they are compiled again when met."""
-        self.states: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = [("", (), ())]
+        self.states: list[tuple[tuple[str, str, int], ...]] = [(("", "", 0),)]
         self.ids: dict[tuple, int] = {self.states[0]: 0}
-        self.arcs: dict[tuple[int, str], tuple[int, int]] = {}
+        self.arcs: list[dict[str, tuple[int, int]]] = [{}]  # of each state: symbol to next state and count
+        self.n_arcs = 0
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges applied by rank: the definition that the transducer is compiled from."""
@@ -110,48 +112,44 @@ class Transducer:
                 return True
 
     def arc(self, state: int, symbol: str) -> tuple[int, int]:
-        """Next state and tokens by which the encoding grows, for one more symbol.
+        """Next state and tokens by which the encoding grows, for one more symbol; compiles the transition.
 
-        A state holds, for each prefix still in reach, the last token of its encoding and its count against the
-        present one; a prefix's last token is the one that is whole and fits the last token of what precedes it.
+        A state holds, for each place at which a token still unfinished may have begun, what of that token is read, the
+        last token of the encoding up to there ("" at a word's start), and that encoding's count against the present
+        one. The last token of a longer prefix is the one that is whole and fits the last token of what precedes it.
+        Words that differ in nothing that a later token can depend on share their states.
         """
-        hit = self.arcs.get((state, symbol))
-        if hit is None:
-            text, tokens, counts = self.states[state]
-            end = END if len(symbol) > 1 else ""
-            text += symbol[0]
-            n, known = len(text), len(tokens)
-            vocab = self.vocab
-            for at in range(max(0, n - self.longest), n):
-                token = text[at:] + end
-                if token in vocab and self.whole(token):
-                    k = known - (n - at)  # what precedes it
-                    if k < 0 or self.fits(tokens[k], token):
-                        delta = 1 + (counts[k] if k >= 0 else counts[0] - 1 if counts else 0)
-                        break
-            else:
-                raise ValueError(f"the vocabulary lacks a symbol of {text!r}")
-            if end:  # accepting: the word is over, so no state is needed
-                hit = self.arcs[state, symbol] = (0, delta)
-                return hit
-            keep = self.longest
-            key = (text[-keep:], (*tokens, token)[-keep:], (*[c - delta for c in counts], 0)[-keep:])
-            nxt = self.ids.get(key)
-            if nxt is None:
-                nxt = self.ids[key] = len(self.states)
+        places = self.states[state]
+        for read, before, count in places:
+            token = read + symbol
+            if token in self.vocab and self.whole(token) and (not before or self.fits(before, token)):
+                delta = 1 + count
+                break
+        else:
+            raise ValueError(f"the vocabulary lacks a symbol of {places[0][0] + symbol!r}")
+        nxt = 0
+        if len(symbol) == 1:  # else the word is over, and no state is needed
+            open_ones = [(more, before, count - delta) for read, before, count in places if (more := read + symbol) in self.begun]
+            key = (*open_ones, ("", token, 0))
+            nxt = self.ids.setdefault(key, len(self.states))
+            if nxt == len(self.states):
                 self.states.append(key)
-            hit = self.arcs[state, symbol] = (nxt, delta)
+                self.arcs.append({})
+        self.n_arcs += 1
+        hit = self.arcs[state][symbol] = (nxt, delta)
         return hit
 
     def word(self, pretoken: str) -> int:
         """Tokens of one pre-token."""
-        if len(self.arcs) > MAX_ARCS:
+        if self.n_arcs > MAX_ARCS:
             self.reset()
         symbols = [self.bytes[b] for b in pretoken.encode()]
         symbols[-1] += END
+        arcs = self.arcs
         state = total = 0
         for s in symbols:
-            state, delta = self.arc(state, s)
+            hit = arcs[state].get(s)
+            state, delta = hit if hit is not None else self.arc(state, s)
             total += delta
         return total
 
