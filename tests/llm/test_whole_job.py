@@ -45,3 +45,20 @@ def test_pipeline_drops_similar_texts(spark):
     other, _ = near_texts(random.Random(8), 200)
     df = spark.createDataFrame([(1, base), (2, changed(3)), (3, changed(9)), (4, other)], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3, 4]
+
+
+def test_pipeline_keeps_one_row_a_group(spark):
+    rng = random.Random(9)
+    bases = [near_texts(rng, 60) for _ in range(5)]
+    (a, a2), (b, _), (c, _), (d, _), (e, e2) = bases
+    rows = [
+        (1, a), (1, a), (2, a2(1)),  # a repeated row
+        (None, b), (None, b),  # a group without ids
+        (None, c), (5, c), (None, c),  # null ids beside an id
+        (7, d), (7, e), (7, e2(1)),  # an id with several texts
+        (None, None), (None, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 5, 7, 7]
+    assert {r.text for r in got} >= {a, b, c, d}
