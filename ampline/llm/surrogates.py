@@ -24,14 +24,17 @@ _TITLE = "|".join(t for g in TITLES.values() for t in g)
 PATTERNS = {
     "email": r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
     "ip": rf"(?=\d)(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "card": r"(?=\d)(?<!\d\.)\d(?:[ -]?\d){12,18}(?!\d)",
     "ssn": r"(?=\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?=[+(\d])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<!\d[.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))",
+    # a stretch of digits up to where an ssn or phone begins; cards are looked for inside
+    "card": r"(?=\d)(?<!\d\.)\d(?:(?:[ -](?!(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])|(?<!\d-)\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])))?\d){12,}+",
     "secret": r"(?=[A-Z])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[gsx])(?:ghp_|gho_|sk_live_|xox[bp]-)[A-Za-z0-9-]{16,80}"
     r"|(?<=[=: \"'])(?=[A-Za-z0-9+/_-]{8})(?<=(?i:token|secret|passwd|password|pwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_-]{8,200}",
     "iban": r"(?=[A-Z]{2}\d{2})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_CAP}(?: {_CAP}){{0,2}}",
 }
+#: How cards are grouped inside a longer stretch of digits; a stretch of 13 to 19 may be one in any grouping.
+CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})$"
 #: Entities begin where no letter or digit of ASCII precedes.
 ENTITY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
@@ -74,6 +77,7 @@ def kind(e: Column) -> Column:
         F.when(e.contains("@"), "email")
         .when(e.rlike(full["ip"]), "ip")
         .when(e.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.when(_luhn(d) % 10 == 0, "card"))
+        .when(e.rlike(r"^\d(?:[ -]?\d){12,}+$"), F.lit(None))
         .when(e.rlike(full["ssn"]), "ssn")
         .when(e.rlike(full["phone"]), "phone")
         .when(e.rlike(full["iban"]), "iban")
@@ -82,6 +86,44 @@ def kind(e: Column) -> Column:
     )
 
 
+def _stretch(e: Column) -> Column:
+    """Whether a match is a stretch of digits that may hold cards beside other numbers."""
+    return e.rlike(r"^\d(?:[ -]?\d){12,}+$") & kind(e).isNull()
+
+
+def pieces(e: Column) -> Column:
+    """(e, rest) of a match as it is, or of a stretch of digits that is no card: its cards and, as rest, what stands between."""
+    as_is = F.array(F.struct(e.alias("e"), F.lit(False).alias("rest")))
+    joined = lambda w, i, m, rest: F.struct(F.array_join(F.slice(w, i, m), "").alias("e"), F.lit(rest).alias("rest"))
+    bits = F.regexp_extract_all(e, F.lit("[0-9]+|[ -]"), F.lit(0))
+
+    def chosen(w: Column) -> Column:
+        n = F.size(w)
+        text = lambda i, m: F.array_join(F.slice(w, i, m), "")
+        card = lambda t: t.rlike(CARD) & (_luhn(_digits(t)) % 10 == 0)
+        # of one, three, four or five groups, the longest that is a card; bits are groups and what parts them in turn
+        first = lambda i: F.coalesce(*[F.when((i + m - 1 <= n) & card(text(i, F.lit(m))), m) for m in (9, 7, 5, 1)], F.lit(0))
+        none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<i:int,m:int>>").alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            more = F.struct((x["i"] + x["m"]).alias("next"), F.array_append(acc["found"], x).alias("found"))
+            return F.when((x["m"] > 0) & (x["i"] >= acc["next"]), more).otherwise(acc)
+
+        # windows are tried at each group, then taken from the left where they don't overlap
+        windows = F.filter(F.transform(F.sequence(F.lit(1), n, F.lit(2)), lambda i: F.struct(i.alias("i"), first(i).alias("m"))), lambda x: x["m"] > 0)
+        return F.aggregate(windows, none, step, lambda acc: acc["found"])
+
+    def parted(w: Column, found: Column) -> Column:
+        end = lambda x: x["i"] + x["m"]
+        before = lambda i: F.when(i == 0, 1).otherwise(end(F.get(found, i - 1)))
+        both = lambda x, i: F.array(joined(w, before(i), x["i"] - before(i), True), joined(w, x["i"], x["m"], False))
+        last = end(F.element_at(found, -1))
+        return F.concat(F.flatten(F.transform(found, both)), F.array(joined(w, last, F.size(w) - last + 1, True)))
+
+    one = lambda w: F.transform(F.array(chosen(w)), lambda found: F.when(F.size(found) > 0, parted(w, found)).otherwise(as_is))
+    return F.when(_stretch(e), F.get(F.flatten(F.transform(F.array(bits), one)), F.lit(0))).otherwise(as_is)
+
+
 def _number(h: Column, i: Column, n: int) -> Column:
     """A number below n: four hexadecimal digits of the keyed hash h, chosen by place."""
     return (F.conv(F.substring(h, i % 64 * 4 + 1, F.lit(4)), 16, 10).cast("int") % n).cast("int")
@@ -171,8 +213,12 @@ def find_entities(df: DataFrame, text_col: str = "text") -> DataFrame:
     hint = F.col("__hint")
     cut = df.withColumn("__s", F.when(hint, F.split(t, ENTITY, -1)).otherwise(F.array(t)))
     cut = cut.withColumn("__m", F.when(hint, F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    # a match of several pieces gets empty texts between them
+    cut = cut.withColumn("__m", F.transform("__m", pieces))
+    cut = cut.withColumn("__s", F.flatten(F.transform("__s", lambda s, i: F.concat(F.array(s), F.array_repeat(F.lit(""), F.coalesce(F.size(F.get("__m", i)), F.lit(1)) - 1)))))
+    cut = cut.withColumn("__m", F.flatten("__m"))
     gender = lambda i: F.when(F.substring(F.get("__s", i), F.greatest(F.length(F.get("__s", i)) - 12, F.lit(1)), F.lit(14)).rlike(FEMALE), "f").otherwise("m")
-    return cut.withColumn("__e", F.transform("__m", lambda e, i: F.struct(e.alias("e"), kind(e).alias("k"), gender(i).alias("g")))).drop("__m", "__hint")
+    return cut.withColumn("__e", F.transform("__m", lambda e, i: F.struct(e["e"].alias("e"), F.when(~e["rest"], kind(e["e"])).alias("k"), gender(i).alias("g")))).drop("__m", "__hint")
 
 
 def collisions(df: DataFrame, key: str, text_col: str = "text", rounds: int = 16) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from ampline.llm import jaccard
+from ampline.llm import jaccard, surrogates
 
 
 def near_texts(rng, n):
@@ -62,3 +62,21 @@ def test_pipeline_keeps_one_row_a_group(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 5, 7, 7]
     assert {r.text for r in got} >= {a, b, c, d}
+
+
+def test_numbers_side_by_side(spark):
+    card, amex, bad = "4041 8949 7460 8795", "378282246310005", "4041894974608796"
+    cases = {
+        "123-45-6789 987-65-4321": ("ssn", 2), "555-123-4567 555-987-6543 555-111-2222": ("phone", 3), "call 555-123-4567 100 times": ("phone", 1),
+        "1234 123-45-6789": ("ssn", 1), f"{card} 123-45-6789": ("card,ssn", 2), f"12 {card.replace(' ', '')} 100": ("card", 1), f"1234 {card}": ("card", 1),
+        f"{card} 1234 5678": ("card", 1), f"{amex} {amex} {bad}": ("card", 2), bad: ("", 0), "40418 9497460 8795": ("card", 1), " ".join(["7"] * 3000): ("", 0),
+        f"{bad} {card} 555-123-4567": ("card,phone", 2), "a 1 b": ("", 0),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    for r in surrogates.replace_entities(df, "k").collect():
+        before, (types, n) = list(cases.items())[r.i]
+        assert (r.entity_types, r.n_entities) == (types, n), before[:60]
+        assert len(r.text) == len(before) and (n > 0) == (r.text != before)
+        for gone in ("123-45", "987-65", "555-", "8795", amex):
+            assert gone not in r.text
+        assert all(w in r.text for w in ("call", "100 times", bad, "1234 5678") if w in before)
