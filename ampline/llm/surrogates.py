@@ -28,8 +28,8 @@ PATTERNS = {
     "phone": r"(?=[+(\d])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<!\d[.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))",
     # a stretch of digits up to where an ssn or phone begins; cards are looked for inside
     "card": r"(?=\d)(?<!\d\.)\d(?:(?:[ -](?!(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])|(?<!\d-)\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])))?\d){12,}+",
-    "secret": r"(?=[A-Z])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[gsx])(?:ghp_|gho_|sk_live_|xox[bp]-)[A-Za-z0-9-]{16,80}"
-    r"|(?<=[=: \"'])(?=[A-Za-z0-9+/_-]{8})(?<=(?i:token|secret|passwd|password|pwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_-]{8,200}",
+    "secret": r"(?=[A-Z])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?=[gsx])(?:ghp_|gho_|sk_live_|xox[bp]-)[A-Za-z0-9_-]{16,}+(?:[.+/]{1,2}[A-Za-z0-9_-]++)*+={0,2}+"
+    r"|(?<=[=: \"'])(?=[A-Za-z0-9+/_-](?:\.{0,2}[A-Za-z0-9+/_-]){7})(?<=(?i:token|secret|passwd|password|pwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_-]++(?:\.{1,2}[A-Za-z0-9+/_-]++)*+={0,2}+",
     "iban": r"(?=[A-Z]{2}\d{2})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_CAP}(?: {_CAP}){{0,2}}",
 }

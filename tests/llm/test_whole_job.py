@@ -80,3 +80,18 @@ def test_numbers_side_by_side(spark):
         for gone in ("123-45", "987-65", "555-", "8795", amex):
             assert gone not in r.text
         assert all(w in r.text for w in ("call", "100 times", bad, "1234 5678") if w in before)
+
+
+def test_secrets_to_their_end(spark):
+    rng = random.Random(4)
+    part = lambda n: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(n))
+    long, head, body, sign = part(300), part(36), part(400), part(43)
+    cases = [f"token={long} end.", f"token: {head}.{body}.{sign}. Next", f"api_key = '{long}=='", f"ghp_{long} x", f"password: {head[:12]}. Then", f"xoxb-{head}-{body}.", "token=abc.defgh"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    for r in surrogates.replace_entities(df, "k").collect():
+        before = cases[r.i]
+        assert r.entity_types == "secret" and r.n_entities == 1 and len(r.text) == len(before)
+        for s in (long, head, body, sign):
+            for at in range(0, len(s) - 11):
+                assert s[at : at + 12] not in r.text
+        assert r.i not in (0, 1, 3, 4) or r.text.endswith(before[before.rindex(" ") :])
