@@ -1,8 +1,9 @@
 """License scan by a positional index of rare licence words.
 
 One pass over the texts keeps the places of words that any template uses. Over these, document frequencies rank the
-words; each file's rarest licence words are looked up in the templates' postings, places are intersected by relative
-position, and a template counts where enough of its weight stands in line and its mandatory phrases stand whole.
+words; where a mandatory phrase stands whole it places its template, all licence words of the file are looked up in the
+templates' postings, places are intersected by relative position, and a template counts where enough of its whole weight
+stands in line.
 """
 
 from __future__ import annotations
@@ -36,8 +37,6 @@ TEMPLATES = {
 }
 #: Words too common in any prose to index.
 STOP = "a all and any are as at by can file following for free if in into is it may not of on one or person source that the this to under use v was with without work you your 0 2 3 4 above work code form".split()
-#: Rarest licence words of a file that are looked up.
-RAREST = 24
 COVERAGE = 0.6
 
 
@@ -96,9 +95,7 @@ def scan_licenses(df: DataFrame, keep: list[str] | None = None, text_col: str =
     weight = lambda w: max(idf.get(w, math.log(total + 2)), 1e-3)
     posts = [(w, n, label, i, weight(w) / sum(weight(x) for _, x in t)) for n, label, t in known for i, w in t]
     postings = spark.createDataFrame(posts or [("", 0, "", 0, 0.0)], "w string, t int, label string, p int, share double")
-    ranked = sorted(idf, key=lambda w: (-idf[w], w))
-    rare = F.slice(F.array_intersect(F.expr(_array(ranked) if ranked else "cast(array() as array<string>)"), F.transform("__hits", lambda h: h["w"])), 1, RAREST)
-    looked = seen.withColumn("__rare", rare).withColumn("__hits", F.when(F.size("__lines") > 0, F.filter("__hits", lambda h: F.array_contains("__rare", h["w"]))))
+    looked = seen.withColumn("__hits", F.when(F.size("__lines") > 0, F.col("__hits")))
     votes = looked.where(F.size("__hits") > 0).select("__row", "__lines", F.explode("__hits").alias("h")).select("__row", "__lines", "h.i", "h.w")
     votes = votes.join(F.broadcast(postings), "w").withColumn("d", F.col("i") - F.col("p"))  # a posting for each template word
     votes = votes.where(F.array_contains(F.transform("__lines", lambda x: F.struct(x["t"].alias("t"), x["d"].alias("d"))), F.struct("t", "d")))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from ampline.llm import jaccard, surrogates
+from ampline.llm import jaccard, licenses, surrogates
 
 
 def near_texts(rng, n):
@@ -95,3 +95,10 @@ def test_secrets_to_their_end(spark):
             for at in range(0, len(s) - 11):
                 assert s[at : at + 12] not in r.text
         assert r.i not in (0, 1, 3, 4) or r.text.endswith(before[before.rindex(" ") :])
+
+
+def test_several_whole_licences(spark):
+    whole = {k: t.replace("[", "").replace("]", "") for k, t in licenses.TEMPLATES.items() if not k.endswith("-short")}
+    df = spark.createDataFrame([(1, " ; ".join(whole.values())), (2, whole["mit"])], "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.scan_licenses(df).collect()}
+    assert got[1][0] >= set(whole) and got[1][1] == pytest.approx(1) and "mit" in got[2][0]
