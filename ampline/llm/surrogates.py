@@ -215,7 +215,7 @@ def find_entities(df: DataFrame, text_col: str = "text") -> DataFrame:
     cut = cut.withColumn("__m", F.when(hint, F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     # a match of several pieces gets empty texts between them
     cut = cut.withColumn("__m", F.transform("__m", pieces))
-    cut = cut.withColumn("__s", F.flatten(F.transform("__s", lambda s, i: F.concat(F.array(s), F.array_repeat(F.lit(""), F.coalesce(F.size(F.get("__m", i)), F.lit(1)) - 1)))))
+    cut = cut.withColumn("__s", F.flatten(F.zip_with("__s", "__m", lambda s, m: F.concat(F.array(s), F.array_repeat(F.lit(""), F.coalesce(F.size(m), F.lit(1)) - 1)))))
     cut = cut.withColumn("__m", F.flatten("__m"))
     gender = lambda i: F.when(F.substring(F.get("__s", i), F.greatest(F.length(F.get("__s", i)) - 12, F.lit(1)), F.lit(14)).rlike(FEMALE), "f").otherwise("m")
     return cut.withColumn("__e", F.transform("__m", lambda e, i: F.struct(e["e"].alias("e"), F.when(~e["rest"], kind(e["e"])).alias("k"), gender(i).alias("g")))).drop("__m", "__hint")
