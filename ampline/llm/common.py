@@ -32,12 +32,18 @@ def small_batches(spark: SparkSession, rows: int = 2048, size: int = 8 << 20) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: spark.checkpoint.dir, or a fresh temporary one where unset (local tests)."""
+    """Folder shared by driver and executors: spark.checkpoint.dir, or else the context's checkpoint folder. On a local
+    master, where all share one machine, a fresh temporary one where neither is set; elsewhere that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not where:
         current = sc._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="ckpt-")
+        if current.isDefined():
+            where = current.get()
+        elif sc.master.startswith("local[") or sc.master == "local":
+            where = tempfile.mkdtemp(prefix="ckpt-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where
@@ -58,15 +64,31 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/ampline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def clear_stages(spark: SparkSession) -> None:
-    """Delete every table that stage() has written; results that still need one fail afterwards."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark._jvm
-    while STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        STAGED.remove(p)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that stage() has written, once nothing will read them again."""
+    for t in tables:
+        if t.staged_path in STAGED:
+            _delete(t.sparkSession, [t.staged_path])
+
+
+def clear_stages(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that stage() has written since it had written so many, but for `keep`; results that still need
+    one of the others fail afterwards."""
+    kept = {t.staged_path for t in keep}
+    _delete(spark, [p for p in STAGED[since:] if p not in kept])
 
 
 def ascii_lower(c: Column) -> Column:

@@ -2,11 +2,15 @@
 
 Every 200-byte window of a text holds an anchor: the least hash among its k-grams. Equal windows have equal anchors at
 equal places, so only windows whose anchor occurs elsewhere can repeat. The windows of one anchor form a span of at
-most 2 * length - k bytes. Spans that occur as a whole more than once repeat in full; that is counted by hash. Spans
-that share an anchor with a different span are gathered, one copy of each, into batches; over a batch's concatenation
-a Burrows-Wheeler transform is built and kept as runs with the suffix positions at the run ends. Match lengths
-with both neighbours in suffix order stream from those samples: along the text a length falls by one until the next
-run end. Windows whose match is at least the wanted length are marked.
+most 2 * length - k bytes. An anchor whose spans are all equal is decided by their number. All other spans are gathered
+by anchor, one copy of each kind (two where it occurs more than once), into batches; over a batch's concatenation a
+Burrows-Wheeler transform is built and kept as runs with the suffix positions at the run ends. Match lengths with both
+neighbours in suffix order stream from those samples: along the text a length falls by one until the next run end.
+Windows whose match is at least the wanted length are marked.
+
+A group of more kinds than a batch holds is split: the windows that begin from lo to hi bytes before the anchor have
+the bytes from lo before it to length - hi after it in common, so they are dealt anew by that core, which grows with
+each split until the groups fit (at the last split the core is the window itself, and its group has one kind).
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampline.llm.common import small_batches, stage
+from ampline.llm.common import release, small_batches, stage
 
 LENGTH = 200
 GRAM = 24
-#: Distinct spans around one anchor up to which one task indexes them together; beyond, windows are counted by hash.
-GROUP = 256
-#: Bytes of spans that one index covers (a group of spans is never split).
+#: Distinct spans of one group that an index takes; larger groups are split by longer cores first.
+GROUP = 1024
+#: Bytes of spans that one index covers (a group is never cut by it).
 BATCH = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -249,6 +253,9 @@ def merged(owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarra
     return owner[at], start[at], start[np.append(at[1:] - 1, len(start) - 1)] + length
 
 
+MARKS = "anchor long, kind long, n int, rid long, start long, end long"
+
+
 def _index_rows(length: int, batch: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -256,10 +263,13 @@ def _index_rows(length: int, batch: int):
 
         def told() -> pd.DataFrame:
             pdf = pd.concat(held, ignore_index=True)
-            part, at = repeated_windows(pdf["raw"].tolist(), length)
-            owner, start, end = merged(part, at, length)
-            base = (pdf["place"].to_numpy() >> PACK)[owner]
-            return pd.DataFrame({"rid": pdf["rid"].to_numpy()[owner], "start": base + start, "end": base + end})
+            raws, n = pdf["raw"].tolist(), pdf["n"].to_numpy()
+            # kinds that occur more than once stand there twice
+            part, at = repeated_windows([*raws, *[raws[i] for i in np.flatnonzero(n > 1)[::-1]]], length)
+            own = part < len(raws)
+            owner, start, end = merged(part[own], at[own], length)
+            base = pdf["start"].to_numpy()[owner]
+            return pd.DataFrame({**{c: pdf[c].to_numpy()[owner] for c in ("anchor", "kind", "n", "rid")}, "start": base + start, "end": base + end})
 
         for pdf in batches:
             sizes = np.cumsum(pdf["raw"].str.len().to_numpy()) if len(pdf) else []
@@ -280,81 +290,112 @@ def _index_rows(length: int, batch: int):
     return rows
 
 
-def _block_rows(length: int, gram: int, block: int):
-    """Windows of a span in blocks by their place against the anchor; equal windows of two spans are in equal blocks."""
+PART = "anchor long, kind long, n int, rid long, start long, before int, raw binary"
+
+
+def _split_rows(length: int, gram: int, width: int, first: bool):
+    """Cuts the windows of a part into classes by how many bytes they have before the anchor, `width` of them in each.
+
+    anchor becomes the hash of what all windows of the class share, kind that of the class's bytes in this part. before:
+    bytes that the part's first window has before the anchor; in the first split it is looked for.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 2048):
-                sub = pdf.iloc[i : i + 2048]
-                sizes = sub["raw"].str.len().to_numpy()
-                begins = np.cumsum(sizes) - sizes
-                h = Hashes(np.frombuffer(b"".join(sub["raw"]), np.uint8))
-                own = np.repeat(np.arange(len(sub)), sizes)
+            if not len(pdf):
+                continue
+            sizes = pdf["raw"].str.len().to_numpy()
+            begins = np.cumsum(sizes) - sizes
+            h = Hashes(np.frombuffer(b"".join(pdf["raw"]), np.uint8))
+            if first:
+                own = np.repeat(np.arange(len(pdf)), sizes)
                 grams = h.grams(gram).view(np.int64)
-                hit = np.flatnonzero(grams == sub["anchor"].to_numpy()[own[: len(grams)]])
-                part, first = np.unique(own[hit], return_index=True)
-                anchor = np.zeros(len(sub), np.int64)
-                anchor[part] = hit[first]  # the first place: an anchor is the leftmost of equal ones
-                counts = sizes - length + 1
-                span = np.repeat(np.arange(len(sub)), counts)
-                at = begins[span] + np.arange(len(span)) - np.repeat(np.cumsum(counts) - counts, counts)
-                w = h.at(at, at + length).view(np.int64)
-                number = (at - anchor[span]) // block
-                cut = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (number[1:] != number[:-1])]))
-                stop = np.append(cut[1:], len(at))
-                owner = span[cut]
-                whole = h.at(at[cut], at[stop - 1] + length) ^ number[cut].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                yield pd.DataFrame({"anchor": sub["anchor"].to_numpy()[owner], "w": whole.view(np.int64), "n": np.minimum(sub["n"].to_numpy(), 2)[owner], "rid": sub["rid"].to_numpy()[owner], "start": (sub["place"].to_numpy() >> PACK)[owner] + at[cut] - begins[owner], "kids": np.split(w, cut[1:])})
+                hit = np.flatnonzero(grams == pdf["anchor"].to_numpy()[own[: len(grams)]])
+                part, at = np.unique(own[hit], return_index=True)
+                before = np.zeros(len(pdf), np.int64)
+                before[part] = hit[at] - begins[part]  # the first place: an anchor is the leftmost of equal ones
+            else:
+                before = pdf["before"].to_numpy().astype(np.int64)
+            least = before - (sizes - length)
+            low, high = least // width, before // width
+            row = np.repeat(np.arange(len(pdf)), high - low + 1)
+            number = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+            most, fewest = np.minimum(before[row], (number + 1) * width - 1), np.maximum(least[row], number * width)
+            start, end = before[row] - most, before[row] - fewest + length  # of the class, in the part
+            core, stop = before[row] - number * width, before[row] - (number + 1) * width + 1 + length
+            tag = number.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            place = begins[row]
+            key, kind = h.at(place + core, place + stop) ^ tag, h.at(place + start, place + end) ^ most.view(np.uint64) * BASE
+            raws = pdf["raw"].tolist()
+            yield pd.DataFrame({
+                "anchor": key.view(np.int64), "kind": kind.view(np.int64), "n": pdf["n"].to_numpy()[row], "rid": pdf["rid"].to_numpy()[row],
+                "start": pdf["start"].to_numpy()[row] + start, "before": most.astype(np.int32), "raw": [raws[r][b:e] for r, b, e in zip(row.tolist(), start.tolist(), end.tolist())],
+            })
 
     return rows
 
 
-def counted_windows(parts: DataFrame, length: int, gram: int, block: int = 16) -> DataFrame:
-    """Marks (rid, start, end) in spans of groups of any size, by counting hashes of blocks of windows, then of windows.
-
-    A block that occurs twice is marked whole, by one row. Of a block's copies one goes on, as a partner for the
-    windows of blocks that occur once; those need no join to be found again, being their own copy.
-    """
-    blocks = stage(parts.mapInPandas(_block_rows(length, gram, block), "anchor long, w long, n long, rid long, start long, kids array<long>"))
-    kinds = blocks.groupBy("anchor", "w").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "start", "kids")).alias("one"))
-    twice = kinds.where("n > 1").select("anchor", "w")
-    whole = blocks.join(twice, ["anchor", "w"]).select("rid", "start", (F.col("start") + F.size("kids") - 1 + length).alias("end"))
-    kids = stage(kinds.select("anchor", F.least("n", F.lit(2)).alias("n"), "one.rid", "one.start", F.posexplode("one.kids").alias("i", "w")).select("anchor", "w", "n", "rid", (F.col("start") + F.col("i")).alias("start")))
-    again = kids.groupBy("anchor", "w").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-    single = kids.where("n = 1").join(again, ["anchor", "w"]).select("rid", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(single)
-
-
 def long_repeats(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, batch: int = BATCH) -> DataFrame:
     """Byte ranges of each text that are covered by strings of length bytes which also start elsewhere in the table.
 
     Returns rid (a hash of key and text), start, end; ranges of a row may overlap. Null and short texts have none. Rows
-    that repeat key and text are copies of each other and share their ranges. No group of equal anchors is gathered
-    beyond `group` distinct spans: the windows of larger groups are compared by 64-bit hash, by aggregation.
+    that repeat key and text are copies of each other and share their ranges. No task gets more than `group` kinds of
+    one anchor: larger groups are split by longer and longer common cores, each split making at most four rows of a
+    kind, and every group that comes of it goes through the index.
     """
     if not gram <= length < 1 << (PACK - 1):
         raise ValueError("length must be at least gram and under 2,048")
     small_batches(df.sparkSession)
     docs = keyed_bytes(df, text_col, key_col)
+    start, size = F.shiftright("place", PACK), F.col("place").bitwiseAND((1 << PACK) - 1)
+    whole = ["rid", start.alias("start"), (start + size).alias("end")]
     anchors = stage(docs.mapInPandas(_anchor_rows(length, gram), "anchor long, span long, rid long, place long"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("span") != F.max("span")).alias("mixed")).where("c > 1").drop("c")
+    # written before it is joined, so that the join sees both its sides' sizes and can split a frequent anchor
+    shared = stage(anchors.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("span") != F.max("span")).alias("mixed")).where("c > 1").drop("c"))
     again = stage(anchors.join(shared, "anchor"))
-    whole = again.where("not mixed").select("rid", "place")
+    release(anchors, shared)
     mixed = again.where("mixed").drop("mixed")
-    kinds = stage(mixed.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("one")))
-    copied = mixed.join(kinds.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("rid", "place")
-    # groups of which every span occurs more than once are marked already
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1").drop("least")
-    ones = kinds.join(sizes, "anchor").select("anchor", "n", "m", "one.rid", "one.place")
-    start, size = F.shiftright("place", PACK), F.col("place").bitwiseAND((1 << PACK) - 1)
-    parts = stage(ones.join(docs, "rid").select("anchor", "n", "m", "rid", "place", F.substring("raw", start + 1, size).alias("raw")))
-    marks = "rid long, start long, end long"
-    few = parts.where(F.col("m") <= group).select("anchor", "rid", "place", "raw")
-    indexed = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_index_rows(length, batch), marks)
-    counted = counted_windows(parts.where(F.col("m") > group), length, gram)
-    full = whole.unionByName(copied).select("rid", start.alias("start"), (start + size).alias("end"))
-    return full.unionByName(indexed).unionByName(counted)
+    kinds = stage(mixed.groupBy("anchor", F.col("span").alias("kind")).agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("rid", "place")).alias("one")))
+    sizes = stage(kinds.groupBy("anchor").agg(F.count("*").alias("m")))
+    ones = kinds.join(sizes, "anchor").select("anchor", "kind", "n", "m", "one.rid", "one.place")
+    parts = stage(ones.join(docs, "rid").select("anchor", "kind", "n", "m", "rid", start.alias("start"), F.lit(0).alias("before"), F.substring("raw", start.cast("int") + 1, size.cast("int")).alias("raw")))
+    release(sizes)
+
+    def indexed(parts: DataFrame) -> DataFrame:
+        return stage(parts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_index_rows(length, batch), MARKS))
+
+    found = indexed(parts.where(F.col("m") <= group).select("anchor", "kind", "n", "rid", "start", "raw"))
+    # what occurs more than once repeats in all its places: as the index says, or by its number in groups that are split
+    repeated = found.where("n > 1").unionByName(parts.where((F.col("m") > group) & (F.col("n") > 1)).select("anchor", "kind", "n", "rid", "start", F.lit(0).alias("end")))
+    copied = stage(mixed.withColumnRenamed("span", "kind").join(stage(repeated.select("anchor", "kind").distinct()), ["anchor", "kind"]).select(*whole))
+    marks = [again.where("not mixed").select(*whole), copied, found.where("n = 1").select("rid", "start", "end")]
+    hot, first = stage(parts.where(F.col("m") > group).select("anchor", "kind", "n", "rid", "start", "before", "raw")), True
+    release(kinds, parts)
+    for width in _widths(length - gram + 1):
+        if not hot.limit(1).count():
+            break
+        rows = stage(hot.mapInPandas(_split_rows(length, gram, width, first), PART))
+        release(hot)
+        kinds = stage(rows.groupBy("anchor", "kind").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("rid", "start", "before", "raw")).alias("one")))
+        sizes = stage(kinds.groupBy("anchor").agg(F.count("*").alias("m")))
+        sized = kinds.join(sizes, "anchor").select("anchor", "kind", "n", "m", "one.*")
+        found = indexed(sized.where((F.col("m") > 1) & (F.col("m") <= group)).select("anchor", "kind", "n", "rid", "start", "raw"))
+        twice = rows.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"]).select("rid", "start", (F.col("start") + F.octet_length("raw")).alias("end"))
+        marks += [stage(twice), found.where("n = 1").select("rid", "start", "end")]
+        hot, first = stage(sized.where(F.col("m") > group).drop("m")), False
+        release(rows, kinds, sizes)
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def _widths(places: int) -> list[int]:
+    """How many places a class of windows has in each split: falling powers of 4, down to 1."""
+    out = [1]
+    while out[-1] * 4 < places:
+        out.append(out[-1] * 4)
+    return out[::-1]
 
 
 def keyed_bytes(df: DataFrame, text_col: str, key_col: str) -> DataFrame:
