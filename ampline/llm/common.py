@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,17 @@ def clear_stages(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...
     _delete(spark, [p for p in STAGED[since:] if p not in kept])
 
 
+HELD: list[Broadcast] = []
+
+
+def hold(broadcast: Broadcast) -> Broadcast:
+    """Frees executors of the broadcasts held before; one that is used once more is sent anew."""
+    while HELD:
+        HELD.pop().unpersist()
+    HELD.append(broadcast)
+    return broadcast
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. The fast lower() does the same for texts without capitals beyond ASCII."""
     return F.when(c.rlike(ODD_CAPITALS), F.translate(c, UPPER, UPPER.lower())).otherwise(F.lower(c))

@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampline.llm.common import small_batches
-from ampline.llm.dedup_runs import Hashes
+from ampline.llm.common import hold, small_batches
+from ampline.llm.dedup_runs import BASE, Hashes, _mix
 
 BITS = 18
 #: Labelled rows that are fitted at most (those with the least hashes of their keys, a sample free of order).
 SAMPLE = 8_000
-#: Bytes hashed at a time; a longer text is taken in pieces that overlap by two bytes.
+#: Bytes hashed at a time; words, pairs and runs go on from one piece to the next.
 PIECE = 1 << 20
 #: Lengths n of "the same word n times" that are indicators of their own, whichever word it is.
 RUNS = (2, 3, 5, 10)
@@ -29,43 +29,52 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def features(raw: bytes, bits: int = BITS) -> np.ndarray:
-    """Sorted distinct indicator numbers of a text of any size."""
+    """Sorted distinct indicator numbers of a text of any size: those of the whole text, however it is cut into pieces."""
     if not raw:
         return np.empty(0, np.int64)
     size = 1 << bits
     seen = np.zeros(size + len(RUNS), bool)
-    mask, shift = np.uint32((1 << bits) - 1), np.uint32(32 - bits)
-    at = 0
-    while at < len(raw):
-        end = at + PIECE
-        if end < len(raw):  # cut at white space, if there is some
-            space = max(raw.rfind(b" ", at + PIECE // 2, end), raw.rfind(b"\n", at + PIECE // 2, end))
-            end = space + 1 if space > 0 else end
-        data = np.frombuffer(raw[max(0, at - 2) : end], np.uint8)
-        b = data.astype(np.uint32)
+    mask, shift, top = np.uint32((1 << bits) - 1), np.uint32(32 - bits), np.uint64(64 - bits)
+    open_sum, open_len = np.uint64(0), 0  # of a word that goes on in the next piece
+    last, streak, longest = np.empty(0, np.uint64), 0, 0  # the word before, and how often it has come in a row
+    for at in range(0, len(raw), PIECE):
+        b = np.frombuffer(raw, np.uint8, min(PIECE + 2, len(raw)) if at == 0 else min(PIECE + 2, len(raw) - at + 2), max(0, at - 2)).astype(np.uint32)
         seen[(b * np.uint32(2654435761) >> shift) & mask] = True
         if len(b) > 1:
             two = b[:-1] << np.uint32(8) | b[1:]
             seen[((two + np.uint32(0x10000)) * np.uint32(2654435761) >> shift) & mask] = True
             three = (two[:-1] << np.uint32(8) | b[2:]) + np.uint32(0x2000000)
             seen[(three * np.uint32(2654435761) >> shift) & mask] = True
-        gap = SPACE[data]
-        edge = np.flatnonzero(np.concatenate([[True], gap, [True]]))
+        data = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)
+        edge = np.flatnonzero(np.concatenate([[True], SPACE[data], [True]]))
         begin, stop = edge[:-1], edge[1:] - 1
         ok = stop > begin
         begin, stop = begin[ok], stop[ok]
-        if len(begin):
-            w = Hashes(data).at(begin, stop)
-            top = np.uint64(64 - bits)
-            seen[(w >> top).astype(np.int64)] = True
-            pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-            seen[(pair >> top).astype(np.int64)] = True
-            same = np.concatenate([[False], w[1:] == w[:-1], [False]])
-            edges = np.flatnonzero(same[1:] != same[:-1])
-            longest = int((edges[1::2] - edges[::2]).max()) + 1 if len(edges) else 1
-            for i, n in enumerate(RUNS):
-                seen[size + i] |= longest >= n
-        at = end
+        sums = Hashes(data).sums
+        part, length = (sums[stop] - sums[begin]) * Hashes.down[begin], (stop - begin).astype(np.uint64)
+        if open_len:
+            if len(begin) and begin[0] == 0:
+                part[:1] = open_sum + part[:1] * np.uint64(pow(int(BASE), open_len, 1 << 64))
+                length[0] += np.uint64(open_len)
+            else:
+                part, length = np.append(open_sum, part), np.append(np.uint64(open_len), length)
+            open_len = 0
+        if at + PIECE < len(raw) and len(stop) and stop[-1] == len(data):
+            open_sum, open_len = part[-1], int(length[-1])
+            part, length = part[:-1], length[:-1]
+        if not len(part):
+            continue
+        w = _mix(part + length)
+        seen[(w >> top).astype(np.int64)] = True
+        w = np.concatenate([last, w])
+        pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+        seen[(pair >> top).astype(np.int64)] = True
+        runs = np.diff(np.concatenate([[0], np.flatnonzero(w[1:] != w[:-1]) + 1, [len(w)]]))
+        if len(last):
+            runs[0] += streak - 1
+        last, streak, longest = w[-1:], int(runs[-1]), max(longest, int(runs.max()))
+    for i, n in enumerate(RUNS):
+        seen[size + i] = longest >= n
     return np.flatnonzero(seen)
 
 
@@ -88,26 +97,48 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(features(raw, self.bits)) + self.offset, -35, 35))))
 
 
-def log_ratios(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
-    """Log of the ratio of smoothed, normalised indicator counts of the two classes."""
-    p, q = (np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == k] or [np.empty(0, np.int64)]), minlength=dimension(bits)) + alpha for k in (1, 0))
-    return np.log((p / p.sum()) / (q / q.sum()))
+class Rows:
+    """Indicator numbers of many texts in one array."""
 
+    def __init__(self, each: list[np.ndarray]):
+        self.ends = np.cumsum([0, *map(len, each)])
+        self.flat = np.concatenate([np.empty(0, np.int32), *each], dtype=np.int32, casting="unsafe")
 
-def dual_descent(rows: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, cost: np.ndarray, dim: int, epochs: int, seed: int = 0, tol: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear SVM with L1 hinge loss by dual coordinate descent over rows of sparse values; the bias is a constant feature."""
-    w, bias = np.zeros(dim), 0.0
-    alpha = np.zeros(len(rows))
-    norm = np.array([float(v @ v) + 1.0 for v in x])
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] : self.ends[i + 1]]
+
+
+def log_ratios(rows: Rows, use: np.ndarray, labels: np.ndarray, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
+    """Log of the ratio of smoothed, normalised indicator counts of the two classes, over the rows in use."""
+    counts = np.full((2, dimension(bits)), alpha)
+    for i in use.tolist():
+        counts[labels[i], rows[i]] += 1  # a row's indicators differ
+    return np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+
+
+def dual_descent(rows: Rows, use: np.ndarray, ratio: np.ndarray, y: np.ndarray, cost: float, epochs: int, seed: int = 0, tol: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Linear SVM with L1 hinge loss by dual coordinate descent over the rows in use; the bias is a constant feature.
+
+    A row's values are its indicators' ratios over the root of their number, worked out when the row is visited, so
+    that memory holds the indicators once.
+    """
+    w, bias = np.zeros(len(ratio)), 0.0
+    alpha, norm = np.zeros(len(use)), np.zeros(len(use))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(rows)).tolist():
-            g = y[i] * (w[rows[i]] @ x[i] + bias) - 1.0
-            new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
+        for i in rng.permutation(len(use)).tolist():
+            f = rows[use[i]]
+            x = ratio[f] / np.sqrt(max(1, len(f)))
+            norm[i] = norm[i] or float(x @ x) + 1.0
+            g = y[i] * (w[f] @ x + bias) - 1.0
+            new = min(max(alpha[i] - g / norm[i], 0.0), cost)
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * x[i]
+                w[f] += step * x
                 bias += step
                 most = max(most, abs(new - alpha[i]) * norm[i])
                 alpha[i] = new
@@ -132,7 +163,7 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, cost: float = 0.1, epochs: int = 12) -> Model:
+def fit(rows: Rows, labels: np.ndarray, bits: int = BITS, cost: float = 0.1, epochs: int = 12) -> Model:
     """The model; without rows of both classes its score is the share of class 1 (smoothed) everywhere.
 
     The curve from margin to probability is fitted on rows held out from a first fit, the model then on all.
@@ -143,11 +174,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, cost: floa
         return Model(np.zeros(dimension(bits)), 0.0, 0.0, float(np.log(share / (1 - share))), bits)
 
     def linear(use: np.ndarray) -> tuple[np.ndarray, float]:
-        own, y = [rows[i] for i in use], labels[use]
-        ratio = log_ratios(own, y, bits)
-        x = [ratio[r] / np.sqrt(max(1, len(r))) for r in own]
-        share = np.where(y == 1, (y == 1).mean(), (y == 0).mean())
-        w, bias = dual_descent(own, x, np.where(y == 1, 1.0, -1.0), np.full(len(y), cost), dimension(bits), epochs)
+        ratio = log_ratios(rows, use, labels, bits)
+        w, bias = dual_descent(rows, use, ratio, np.where(labels[use] == 1, 1.0, -1.0), cost, epochs)
         return w * ratio, bias
 
     part = np.arange(len(rows)) % 4 == 0
@@ -159,7 +187,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, cost: floa
     return Model(*linear(np.arange(len(rows))), slope, offset, bits)
 
 
-def labelled_features(df: DataFrame, text_col: str, label_col: str, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+def labelled_features(df: DataFrame, text_col: str, label_col: str, bits: int) -> tuple[Rows, np.ndarray]:
     """Indicators of a bounded table's rows, gathered on the driver."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,15 +196,16 @@ def labelled_features(df: DataFrame, text_col: str, label_col: str, bits: int) -
             yield pd.DataFrame({"h": pdf["h"], "f": f, "y": pdf["y"]})
 
     got = df.select(F.col("__order").alias("h"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).mapInPandas(rows, "h long, f binary, y int")
-    out = sorted(got.toLocalIterator(), key=lambda r: (r["h"], r["y"], bytes(r["f"])))
-    return [np.frombuffer(bytes(r["f"]), np.int32).astype(np.int64) for r in out], np.array([r["y"] for r in out], int)
+    out = sorted((r["h"], r["y"], bytes(r["f"])) for r in got.toLocalIterator())
+    return Rows([np.frombuffer(f, np.int32) for _, _, f in out]), np.array([y for _, y, _ in out], int)
 
 
 def train_quality(documents: DataFrame, labels: DataFrame, where: Column | None = None, text_col: str = "text", key_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on at most `sample` labelled rows (those of the least key hashes).
 
     where: which label rows may be learned from. Rows with a null key or label, and keys without a document, are left
-    out; a null text is empty. The sample's keys are broadcast (at most `sample` of them), so no text is shuffled.
+    out; a null text is empty. Repeated rows of either table count as often as they meet. The sample's keys are broadcast
+    (at most `sample` of them), so no text is shuffled.
     """
     small_batches(documents.sparkSession)
     known = labels if where is None else labels.where(where)
@@ -187,9 +216,10 @@ def train_quality(documents: DataFrame, labels: DataFrame, where: Column | None
 
 
 def score_quality(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Add the probability that a text is of class 1 (null: the empty text). A column named out is replaced."""
+    """Add the probability that a text is of class 1 (null: the empty text). A column named out is replaced; repeated rows
+    get equal scores; a text of any length is read whole, in pieces."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # 2^bits weights, whatever the corpus
+    shared = hold(df.sparkSession.sparkContext.broadcast(model))  # 2^bits weights, whatever the corpus
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:

@@ -119,10 +119,25 @@ def test_contamination(spark, docs, empty, texts):
                     hit |= set(range(i, i + k))
                     items |= found
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(w), len(hit), sorted(items), bool(hit) and 20 * len(hit) >= len(w))
+    for small in ({"hashes": 0}, {"most": 0}, {"hashes": 0, "most": 0}):
+        again = decontaminate.contamination(docs, bench, keep=["doc_id", "text", "n_tokens"], **small).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+def test_spans_are_removed(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (None, "seven eight"), (2, "Four")], "item_id long, text string")
+    cases = {"-- A one, TWO three! B four.": "-- A B ", "x one two three one two three y": "x y", "one two": "one two", "One two three": "", "seven eight": "seven eight", "": "", "ONE two THREE four z": "z"}
+    rows = [(i, t, "clash") for i, t in enumerate(cases)] + [(90, None, "c"), (0, next(iter(cases)), "clash")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = decontaminate.decontaminate(df, bench, "spans").collect()
+    assert df.columns == ["doc_id", "text", "spans"] and len(got) == len(rows)
+    for r in got:
+        assert r.text == (None if r.doc_id == 90 else list(cases.values())[r.doc_id]) and r.spans in ("clash", "c")
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(df, bench).collect()) == [2, 4, 5, 90]
+
+
 def test_simhash(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == docs.count()
@@ -171,7 +186,7 @@ def test_quality(spark, empty):
     assert all((r.score >= 0.3) == (r.doc_id < 150) for r in scored)
     assert all(0 <= r.score <= 1 for r in quality.score_quality(df, model).collect())
     assert quality.score_quality(empty, model).count() == 0
-    one = quality.fit([np.array([1])], np.array([1]))
+    one = quality.fit(quality.Rows([np.array([1])]), np.array([1]))
     assert 0 < one.score(b"x") < 1
 
 
