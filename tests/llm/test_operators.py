@@ -216,11 +216,42 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_license_template(spark):
-    body = licenses.TEMPLATES["bsd"].replace("[", "").replace("]", "")
-    df = spark.createDataFrame([(1, "Start. " + body.title() + "."), (2, " ".join(reversed(body.split())))], "doc_id long, text string")
-    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()}
-    assert got[1] == ("bsd", 1.0) and got[2] == ("", 0.0)
+def brute_licenses(texts):
+    """Labels and score of each text, every template tried at every place."""
+    known, every = licenses.parsed(), [words(t) for t in texts]
+    freq = collections.Counter(w for ws in every for w in set(ws))
+    out = []
+    for w in every:
+        labels, score = set(), 0.0
+        for phrase, label in licenses.BASE.items():
+            if any(w[i : i + len(phrase.split())] == phrase.split() for i in range(len(w))):
+                labels.add(label)
+                score = max(score, 0.5)
+        for label, t, must in known:
+            weight = [np.log((len(texts) + 1) / (freq[x] + 0.5)) + 1e-3 for x in t]
+            for d in range(-len(t), len(w)):
+                there = [0 <= d + p < len(w) and w[d + p] == x for p, x in enumerate(t)]
+                if all(there[p] for p in must):
+                    share = sum(x for x, ok in zip(weight, there) if ok) / sum(weight)
+                    score = max(score, min(1.0, share))
+                    if share >= licenses.COVERAGE:
+                        labels.add(label)
+        out.append((",".join(sorted(labels)), round(score, 9)))
+    return out
+
+
+def test_licenses_equal_brute_force(spark, texts):
+    rng = random.Random(6)
+    whole = {k: t.replace("[", "").replace("]", "") for k, t in licenses.TEMPLATES.items()}
+    cases = [*texts[:12], " ; ".join(whole.values()), *whole.values(), *[" ".join(reversed(t.split())) for t in whole.values()]]
+    for t in whole.values():  # cut short, one word changed, one word lost
+        w = t.split()
+        k = rng.randrange(len(w))
+        cases += [" ".join(w[len(w) // 3 :]), " ".join([*w[:k], "other", *w[k + 1 :]]), "x " + " ".join([*w[:k], *w[k + 1 :]]) + " y", t.title() + " / " + t.upper()]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(cases)], "doc_id long, text string, labels string").repartition(3)
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(cases))] == brute_licenses(cases)
+    assert set(got[12][0].split(",")) == {k.split("/")[0] for k in whole}
 
 
 def test_curriculum(docs, empty):
