@@ -1,8 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-For each host a few pages are aligned by simple tree matching. Nodes that match everywhere with the same text are
-template; the node under which most of the varying text lies is the content region. A page is aligned with its host's
-wrapper: the node matched to the region holds the main text, without what is template or boilerplate by its markup.
+Pages of one host and layout (the kinds of container elements that a page has) share a wrapper. A few of them, of other
+content each, are aligned by simple tree matching: nodes that some of them lack enter the wrapper too, nodes that hold
+the same text wherever they stand are template, and the node under which most of the varying text lies is the content
+region. A page is aligned with its wrapper: the node matched to the region holds the main text, without the template
+nodes in it and what its markup says is boilerplate. Markup alone decides for pages without a wrapper, or that match no
+region of theirs, or where the region has less than half of the text of an article element elsewhere.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,12 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampline.llm.common import small_batches, stage
+from ampline.llm.common import release, small_batches, stage
 
-#: Pages of a host that its wrapper is induced from, at most; each of other content.
-EXAMPLES = 6
-#: Parts into which a host's pages are dealt.
-SALT = 48
+#: Pages of a host and layout that a wrapper is induced from, at most; each of other content.
+EXAMPLES = 8
+#: Pages in which a paragraph or heading must stand, always with the same text, to be template; for containers 2 do.
+SURE = 4
+#: Examples that a layout needs for a wrapper of its own; pages of rarer ones take that of all the host's pages.
+LAYOUT = 3
+#: Bytes of wrappers, or of the examples' names, up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Elements nested deeper stand side by side; cells of an alignment beyond which equal labels are paired in order.
+DEPTH, CELLS = 120, 1 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -39,12 +49,15 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "aler
 WORDS = "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner sidebar sidebars menu navbar nav navigation topnav breadcrumb breadcrumbs footer masthead siteheader topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended pagination pager widget toolbar skip".split()
 MARK = re.compile(r"(?:^|[-_])(?:" + "|".join(WORDS) + r")(?:$|[-_])|^(?:site|page|global|top)[-_]?header$|^header$|^(?:comment|ad|advert|cookie)\d+$", re.I)
 
+NUMBER = re.compile("[0-9]+")
+
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "parent", "text")
+    __slots__ = ("tag", "marks", "kids", "parent", "text", "depth")
 
     def __init__(self, tag: str, marks: tuple[str, ...], parent: Node | None):
         self.tag, self.marks, self.kids, self.parent, self.text = tag, marks, [], parent, None
+        self.depth = parent.depth + 1 if parent else 0
 
     def nodes(self) -> list[Node]:
         return [k for k in self.kids if type(k) is Node]
@@ -53,7 +66,7 @@ class Node:
 def parse(page: str) -> Node:
     """Tree of elements and decoded texts; closes what HTML closes by itself and takes any input."""
     root = here = Node("#root", (), None)
-    at = 0
+    at, flat = 0, []  # flat: open elements that are nested too deep to be entered
     n = len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -72,6 +85,10 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
+            if tag in flat:
+                while flat.pop() != tag:
+                    pass
+                continue
             up = here
             while up is not root and up.tag != tag:
                 up = up.parent
@@ -101,7 +118,10 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
-            here = node
+            if node.depth < DEPTH:
+                here = node
+            else:
+                flat.append(tag)
     return root
 
 
@@ -131,7 +151,7 @@ def descendants(node: Node) -> Iterator[Node]:
 
 
 def label(node: Node) -> tuple:
-    return node.tag, node.marks
+    return node.tag, tuple(NUMBER.sub("", m) for m in node.marks) if node.marks else ()
 
 
 def match(a: list, b: list, label_a, label_b, kids_a, kids_b) -> tuple[int, list[tuple]]:
@@ -151,7 +171,23 @@ def match(a: list, b: list, label_a, label_b, kids_a, kids_b) -> tuple[int, list
         pairs.append((a[hi_a], b[hi_b]))
     gain = len(pairs)
     x, y = a[lo:hi_a], b[lo:hi_b]
-    if x and y:
+    if len(x) * len(y) > CELLS:
+        at: dict = {}
+        for j, q in enumerate(y):
+            at.setdefault(label_b(q), []).append(j)
+        j = -1
+        for p in x:
+            there = at.get(label_a(p), [])
+            k = bisect_right(there, j)
+            if k < len(there):
+                j = there[k]
+                pairs.append((p, y[j]))
+                gain += 1
+                if (kp := kids_a(p)) and (kq := kids_b(y[j])):
+                    more, inner = match(kp, kq, label_a, label_b, kids_a, kids_b)
+                    gain += more
+                    pairs.extend(inner)
+    elif x and y:
         best = {}
         rows = [[0] * (len(y) + 1)]
         for i, p in enumerate(x):
@@ -183,45 +219,58 @@ def match(a: list, b: list, label_a, label_b, kids_a, kids_b) -> tuple[int, list
 
 
 class Slot:
-    """Node of a wrapper: its label, children, the text that all examples share (else None), and varying characters below."""
+    """Node of a wrapper: its label, children, the text that it always has (else None), the varying characters below, and
+    in how many examples it stands."""
 
-    __slots__ = ("label", "kids", "text", "mass", "region", "seen")
+    __slots__ = ("label", "kids", "text", "first", "mass", "region", "seen")
 
     def __init__(self, node: Node):
         self.label, self.kids, self.mass, self.region = label(node), [Slot(k) for k in node.nodes()], 0, False
-        self.text = " ".join(text_of(node).split())
+        self.text = self.first = said(node)
         self.seen = 1
 
 
+def said(node: Node) -> str:
+    return " ".join(text_of(node).split())
+
+
 def page_match(slots: list[Slot], node: Node) -> list[tuple]:
     return match(slots, node.nodes(), lambda s: s.label, label, lambda s: s.kids, lambda n: n.nodes())[1]
 
 
 def induce(pages: list[str]) -> str:
-    """Wrapper of one host from pages of it, as JSON."""
+    """Wrapper of pages of one host and layout, as JSON."""
     trees = [parse(p) for p in pages]
     root = Slot(trees[0])
-    every = [root]
-    for s in every:
-        every.extend(s.kids)
-    for s in every:
-        s.mass = len(s.text) if len(trees) == 1 else 0
-    first = {id(s): s.text for s in every}
     for tree in trees[1:]:
         pairs = [(root, tree), *page_match(root.kids, tree)]
+        slot_of = {id(node): s for s, node in pairs}
         for s, node in pairs:
             s.seen += 1
-            own = " ".join(text_of(node).split())
-            if own != first[id(s)]:
+            own = said(node)
+            if own != s.first:
                 s.text = None
-                s.mass += len(own) + len(first[id(s)])
-    region = find_region(root)
-    region.region = True
+                s.mass += len(own) + len(s.first)
+            # what the wrapper lacks so far enters it behind the sibling before
+            behind = None
+            for k in node.nodes():
+                there = slot_of.get(id(k))
+                if there is None:
+                    there = Slot(k)
+                    s.kids.insert(s.kids.index(behind) + 1 if behind else 0, there)
+                behind = there
+    every = [root]
+    for s in every:
+        every.extend(s.kids)
+    for s in every:
+        if s.seen == 1:  # of one page alone: all of it varies
+            s.mass = len(s.first)
+    find_region(root).region = True
 
-    def said(s: Slot) -> list:
-        return [s.label[0], list(s.label[1]), s.text if s.seen == len(trees) > 1 else None, s.region, [said(k) for k in s.kids]]
+    def told(s: Slot) -> list:
+        return [s.label[0], list(s.label[1]), s.text if s.seen > 1 else None, s.seen, s.region, [told(k) for k in s.kids]]
 
-    return json.dumps(said(root), ensure_ascii=False)
+    return json.dumps(told(root), ensure_ascii=False)
 
 
 def find_region(root: Slot) -> Slot:
@@ -232,7 +281,7 @@ def find_region(root: Slot) -> Slot:
             return here
         able = [k for k in here.kids if k.label[0] not in PRUNED and k.label[0] != "header" and not any(MARK.search(m) for m in k.label[1] if not m.startswith("role:"))]
         top = max(able, key=lambda k: (k.label[0] in ("article", "main"), k.mass, len(k.text or "")), default=None)
-        if top is None or top.label[0] not in ("html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "center"):
+        if top is None or not top.mass or top.label[0] not in ("html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "center"):
             return here
         if top.label[0] not in ("article", "main") and top.mass * 5 < 3 * sum(k.mass for k in able):
             return here
@@ -240,8 +289,8 @@ def find_region(root: Slot) -> Slot:
 
 
 class _Wrapper:
-    def __init__(self, said: list):
-        self.label, self.text, self.region, self.kids = (said[0], tuple(said[1])), said[2], said[3], [_Wrapper(k) for k in said[4]]
+    def __init__(self, told: list):
+        self.label, self.text, self.seen, self.region, self.kids = (told[0], tuple(told[1])), told[2], told[3], told[4], [_Wrapper(k) for k in told[5]]
 
 
 @lru_cache(maxsize=64)
@@ -249,49 +298,70 @@ def loaded(wrapper: str) -> _Wrapper:
     return _Wrapper(json.loads(wrapper))
 
 
-#: Elements whose constant text is template even inside the region; paragraphs and headings are the article's own.
+#: Containers: constant ones are template if two pages have them; for other elements see SURE.
 SHELL = set("div ul ol section table span a dl small center details".split())
 
 
+def inside(node: Node, others: list[Node]) -> bool:
+    """Whether a node is one of the others or below one."""
+    ids = {id(o) for o in others}
+    while node is not None and id(node) not in ids:
+        node = node.parent
+    return node is not None
+
+
 def main_text(page: str | None, wrapper: str | None) -> str:
-    """Main text of a page; without a wrapper, or where the page does not match its region, markup alone decides."""
+    """Main text of a page; without a wrapper, or where the page does not match its region, markup alone decides.
+
+    Constant nodes in the region are no template if they make up over half of its text: then the examples are copies.
+    """
     if not page:
         return ""
     tree = parse(page)
     regions: list[Node] = []
-    template: set[int] = set()
+    constant: list[Node] = []
     if wrapper:
         w = loaded(wrapper)
         for s, node in page_match(w.kids, tree):
             if s.region:
                 regions.append(node)
-            if s.text and node.tag in SHELL and s.text == " ".join(text_of(node).split()):
-                template.add(id(node))
+            elif s.text and s.seen >= (2 if node.tag in SHELL else SURE) and s.text == said(node):
+                constant.append(node)
     every = list(descendants(tree))[::-1]
     marked = [n for n in every if n.tag == "article" and not boilerplate(n, False)] or [n for n in every if (n.tag == "main" or "role:main" in n.marks) and not boilerplate(n, False)]
-    if marked and not any(r.tag in ("article", "main") for r in regions):
-        regions = marked
-    elif marked and regions[0].tag == "article":
-        regions = marked  # all articles of the page, not only the one that the wrapper has
-    sure = bool(regions) and regions[0].tag in ("article", "main")
+    mass = lambda nodes: sum(len(said(n)) for n in nodes)
+    if regions and marked:
+        near = [m for m in marked if inside(m, regions) or inside(regions[0], [m])]
+        if near and not all(n in constant for n in near):
+            regions = marked if near[0].tag == "article" else near  # an article and those beside it
+        elif 2 * mass(regions) < mass(marked):
+            regions = marked
+    sure = not regions or any(inside(r, marked) for r in regions)
+    regions = regions or marked
+    sure = sure and bool(regions)
     regions = regions or [n for n in every if n.tag == "body"][:1] or [tree]
     chosen = {id(r) for r in regions}
+    cut = [n for n in constant if id(n) not in chosen and inside(n.parent, regions)]
+    outer = [n for n in cut if not inside(n.parent, cut)]
+    if 2 * mass(outer) > mass(regions):
+        cut = [] if sure or mass(outer) == mass(regions) else [n for n in cut if n.tag in SHELL]
+    template = {id(n) for n in cut}
     out: list[str] = []
 
-    def walk(node: Node, inside: bool) -> None:
+    def walk(node: Node, within: bool) -> None:
         for k in node.kids:
             if type(k) is str:
-                if inside:
+                if within:
                     out.append(k)
             elif id(k) in chosen:
                 if not boilerplate(k, False) or k.tag in ("article", "main"):
                     out.append("\n")
                     walk(k, True)
                     out.append("\n")
-            elif not boilerplate(k, inside) and not (inside and id(k) in template) and not (inside and not sure and mostly_links(k)):
+            elif not boilerplate(k, within) and id(k) not in template and not (within and not sure and mostly_links(k)):
                 if k.tag in BLOCK:
                     out.append("\n")
-                walk(k, inside)
+                walk(k, within)
                 if k.tag in BLOCK:
                     out.append("\n")
 
@@ -311,36 +381,62 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+CONTAINERS = r"(?i)<(?:div|section|article|main|nav|header|footer|aside|form|table)(?:\s[^>]*)?>"
+
+
+def layout(html: Column) -> Column:
+    """Hash of the kinds of containers that a page has: element names with their classes, without digits."""
+    kind = lambda x: F.concat(F.lower(F.regexp_extract(x, r"^<(\w+)", 1)), F.lit(" "), F.regexp_replace(F.regexp_extract(x, "(?i)\\sclass\\s*=\\s*[\"']?([^\"'>]*)", 1), "[0-9]+", ""))
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(CONTAINERS), F.lit(0)), kind))), "\n"))
+
+
+def _bounded(df: DataFrame, size: Column) -> DataFrame:
+    """df, broadcast if its bytes are known to be few."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", examples: int = EXAMPLES) -> DataFrame:
-    """(host, wrapper): induced from the page of the least hash in each of `examples` classes of page contents.
+    """(host, layout, wrapper): for each layout of a host with LAYOUT examples or more, and with null as layout for all its
+    pages. Examples are the pages of the least hash in each of `examples` classes of page contents.
 
-    The choice is an aggregation with partial results, so a host of any size sends few pages to one task; the examples
-    differ in content, and copies of one page count once.
+    Examples are chosen by aggregations of hashes over all pages, so a host of any size sends few rows; then the chosen
+    pages are fetched. They differ in content, and copies of one page count once. Written in the shared folder.
     """
-    order = F.xxhash64(html_col)
-    chosen = pages.where(F.length(html_col) > 0).select(host(F.col(url_col)).alias("host"), F.pmod(order, F.lit(examples)).alias("part"), order.alias("o"), F.col(html_col).alias("h"))
-    least = chosen.groupBy("host", "part").agg(F.min_by("h", "o").alias("h"))
+    own = pages.where(F.length(html_col) > 0).select(host(F.col(url_col)).alias("host"), layout(F.col(html_col)).alias("layout"), F.xxhash64(html_col).alias("o"))
+    seen = stage(own.groupBy("host", "layout", F.pmod("o", F.lit(examples)).alias("part")).agg(F.min("o").alias("o")))
+    often = seen.groupBy("host", "layout").agg(F.count("*").alias("n")).where(F.col("n") >= LAYOUT).drop("n")
+    all_ = seen.groupBy("host", "part").agg(F.min("o").alias("o")).select("host", F.lit(None).cast("bigint").alias("layout"), "o")
+    chosen = stage(seen.join(often, ["host", "layout"]).select("host", "layout", "o").unionByName(all_))
+    named = pages.where(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("o"), F.col(html_col).alias("h"))
+    fetched = stage(named.join(_bounded(chosen.select("o").distinct(), F.lit(32)), "o", "left_semi").groupBy("o").agg(F.min("h").alias("h")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": pdf["host"][:1], "wrapper": [induce(sorted(pdf["h"]))]})
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "layout": pd.array([key[1]], dtype="Int64"), "wrapper": [induce(sorted(pdf["h"]))]})
 
-    return least.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    out = stage(chosen.join(fetched, "o").groupBy("host", "layout").applyInPandas(one, "host string, layout long, wrapper string"))
+    release(seen, chosen, fetched)
+    return out
 
 
 def extract_main(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "main_text", examples: int = EXAMPLES) -> DataFrame:
     """Add the main text of each page. Null or empty html gives an empty text; a null or odd url belongs to the empty host.
 
-    Rows that repeat get equal texts. A column named out is replaced. Pages meet their host's wrapper by a join on host
-    and a salt, so a host's pages go to many tasks.
+    Rows that repeat get equal texts; a page of any length is read whole. A column named out is replaced, others stay,
+    whatever their names. Wrappers are broadcast while their bytes are few; beyond, pages meet them by a join on host
+    and layout, of which Spark splits the large parts.
     """
     small_batches(pages.sparkSession)
-    wrappers = stage(host_wrappers(pages, url_col, html_col, examples))
-    salted = wrappers.select(F.col("host").alias("__host"), "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    wrappers = host_wrappers(pages, url_col, html_col, examples)
+    special = _bounded(wrappers.where("layout is not null").select(F.col("host").alias("__host"), F.col("layout").alias("__layout"), F.col("wrapper").alias("__own")), F.octet_length("__own"))
+    general = _bounded(wrappers.where("layout is null").select(F.col("host").alias("__host"), F.col("wrapper").alias("__all")), F.octet_length("__all"))
 
     @F.pandas_udf("string")
     def extracted(htmls: pd.Series, ws: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, w) for h, w in zip(htmls, ws)], dtype=object)
 
-    own = pages.drop(out).withColumn("__host", host(F.col(url_col))).withColumn("__salt", F.pmod(F.xxhash64(html_col, url_col), F.lit(SALT)).cast("int"))
-    done = own.join(salted.withColumnRenamed("wrapper", "__wrapper"), ["__host", "__salt"], "left")
-    return done.withColumn(out, extracted(F.col(html_col), F.col("__wrapper"))).drop("__host", "__salt", "__wrapper")
+    keep = [c for c in pages.columns if c != out]
+    own = pages.select(F.struct(*keep).alias("__page") if keep else F.lit(None).alias("__page"), F.col(html_col).alias("__html"), host(F.col(url_col)).alias("__host"), layout(F.col(html_col)).alias("__layout"))
+    done = own.join(special, ["__host", "__layout"], "left").join(general, "__host", "left")
+    done = done.withColumn("__text", extracted(F.col("__html"), F.coalesce("__own", "__all")))
+    return done.select(*[F.col("__page")[c].alias(c) for c in keep], F.col("__text").alias(out))

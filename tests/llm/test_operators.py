@@ -291,3 +291,54 @@ def test_main_text(spark):
     got = [r.main_text for r in wrappers.extract_main(df).orderBy("page_id", "html").collect()]
     assert sorted(got) == sorted(["A & b One bold. Two x y", "C Three", "First story here", "Second tale there", "", "", "just <text", "again"])
     assert wrappers.extract_main(df.limit(0)).count() == 0
+
+
+def bare_pages(n, rng):
+    """Pages without telling elements or names, and their main texts."""
+    made = []
+    for i in range(n):
+        say = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(k))
+        title, parts = say(4), [say(rng.randrange(20, 60)) for _ in range(rng.randrange(1, 5))]
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        html = f"<html><body><div><a href=/>Home</a> <a href=/x>News of the day</a></div><div><div><h2>{title}</h2>{body}</div><div>Read our other stories</div></div><div>All rights reserved by us {i}</div></body></html>"
+        made.append((html, " ".join([title, *parts])))
+    return made
+
+
+def test_wrapper_decides_without_telling_markup(spark):
+    made = bare_pages(12, random.Random(3))
+    df = spark.createDataFrame([(i, f"http://b.x/{i}", h, "clash", "c2") for i, (h, _) in enumerate(made)], "page_id long, url string, html string, __host string, main_text string").repartition(3)
+    got = {r.page_id: r for r in wrappers.extract_main(df).collect()}
+    assert [got[i].main_text for i in range(12)] == [t for _, t in made]
+    assert all(wrappers.main_text(h, None) != t for h, t in made) and got[0]["__host"] == "clash"
+
+
+def test_template_paragraphs_in_an_article(spark):
+    rng = random.Random(4)
+    say = lambda k: " ".join(f"w{rng.randrange(900)}" for _ in range(k))
+    rows, want = [], []
+    for i in range(8):
+        title, a, b, note = say(3), say(30), say(20), "<h4>You may like this</h4><p>Please support our work</p>"
+        other = i >= 6  # a second layout of the same host, seen too seldom for a wrapper of its own
+        rows.append((i, "https://h.y/%d" % i, f"<body><header>top</header><article><h1>{title}</h1><p>{a}</p>{note}<p>{b}</p></article>{'<aside>x</aside><section>y</section>' if other else ''}</body>"))
+        want.append(f"{title} {a} {b}")
+    rows += [(50, "https://h.y/0", rows[0][2]), (51, "https://one.y/", rows[0][2])]
+    got = {r.page_id: r.main_text for r in wrappers.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == want and got[50] == want[0]
+    assert "Please support our work" in got[51]  # the only page of its host: markup alone decides
+    assert wrappers.main_text(rows[0][2], None) != want[0]
+
+
+def test_copies_of_an_article_are_no_template():
+    same = "".join(f"<p>paragraph {i} of the story</p>" for i in range(9))
+    pages = [f"<body><div>menu</div><article><h1>Title {i}</h1>{same}</article></body>" for i in range(6)]
+    w = wrappers.induce(pages)
+    assert wrappers.main_text(pages[2], w) == "Title 2 " + " ".join(f"paragraph {i} of the story" for i in range(9))
+
+
+def test_long_and_deep_pages():
+    deep = "<div>" * 4000 + "x <b>y</b>" + "</div>" * 4000 + " z"
+    assert wrappers.main_text(deep, None) == "x y z"
+    assert wrappers.main_text(deep, wrappers.induce([deep, deep.replace("x", "u"), deep.replace("x", "v")])) == "x y"
+    long = ["<body>" + "".join(f"<p><b>{i}</b> {k}</p>" for i in range(3000)) + "</body>" for k in "abc"]
+    assert wrappers.main_text(long[0], wrappers.induce(long)) == " ".join(f"{i} a" for i in range(3000))
