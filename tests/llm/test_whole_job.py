@@ -1,6 +1,7 @@
 """Cases of the first advice: what an operator must do for the whole job."""
 
 import random
+import re
 
 import pytest
 
@@ -95,3 +96,71 @@ def test_secrets_to_their_end(spark):
             for at in range(0, len(s) - 11):
                 assert s[at : at + 12] not in r.text
         assert r.i not in (0, 1, 3, 4) or r.text.endswith(before[before.rindex(" ") :])
+
+
+def mod97(iban):
+    iban = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def luhn(number):
+    d = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d[::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10
+
+
+def replaced(spark, cases, key="k"):
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(cases)], "i int, text string, entity_types string").repartition(3)
+    return {r.i: r for r in surrogates.replace_entities(df, key).collect()}
+
+
+def test_nothing_leaks(spark):
+    gone = {
+        "token=1234567890123 end": (["1234567890123"], "secret"), "password: Hunterxyz": (["Hunterxyz"], "secret"), "pay DE89 3704 0044 0532 0130 00 now": (["3704", "0532"], "iban"),
+        "Mr. SMITH left": (["SMITH"], "name"), "Dr. Anna Smith, Prof. Lee": (["Anna", "Smith", "Lee"], "name"), "ring 02079460958 or 555-123-4567": (["02079460958", "555-123"], "phone"),
+        "at 2001:db8::1 and fe80::1 and 2001:db8:0:1:1:1:1:1": (["2001:db8", "fe80::1"], "ip6"), "mail name@exämple.de, ñandú@a.org": (["name@", "exämple", "ñandú"], "email"),
+        "Mr. John Smith came. John Smith, or Smith, met Mrs. Smith. Smithson did not.": ([" John", "Smith ", "Smith,", "Smith."], "name"), "GB82 WEST 1234 5698 7654 32": (["WEST", "1234"], "iban"),
+    }
+    kept = ["AB12 THIS TEXT WITH CAPS HERE", "GB12 WEST 1234 5698 7654 32", "at 12:30:45, std::vector, a::b", "7755680307517467 0123 1234567890123", "Dr. said so", "doctor smith Mr brown", "Smith alone", None, ""]
+    got = replaced(spark, [*gone, *kept])
+    for i, (before, (words, kind)) in enumerate(gone.items()):
+        assert got[i].entity_types == kind, before
+        assert all(w not in got[i].text for w in words), (before, got[i].text)
+    for i, before in enumerate(kept, len(gone)):
+        assert got[i].text == before and got[i].n_entities == 0 and got[i].entity_types == "", (before, got[i].text)
+    names = list(gone).index("Mr. John Smith came. John Smith, or Smith, met Mrs. Smith. Smithson did not.")
+    first, second, third, fourth = re.fullmatch(r"Mr\. (\w+o \w+) came\. (\w+o \w+), or (\w+), met Mrs\. (\w+)\. Smithson did not\.", got[names].text).groups()
+    assert first == second and first.split()[1] == third == fourth
+    assert re.fullmatch(r"Mr\. [A-Z]+ left", got[3].text)
+    assert mod97(re.search(r"DE[\d ]+\d", got[2].text)[0]) == 1 and mod97(got[9].text) == 1 and re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", got[9].text)
+    assert re.search(r"ring 0\d{10} or [2-9]\d\d-[2-9]\d\d-\d{4}", got[5].text)
+
+
+def test_surrogates_stay_valid(spark):
+    rng = random.Random(12)
+    phones = [f"+1 ({rng.randrange(200, 1000)}) 555-{rng.randrange(10**4):04}" for _ in range(60)]
+    ips = [f"{rng.randrange(1, 256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(60)]
+    cards = [c for c in (f"4{rng.randrange(10**15):015}" for _ in range(600)) if luhn(c) == 0][:40]
+    got = replaced(spark, [" ; ".join([*phones, *ips, *cards])])[0]
+    assert got.n_entities == 120 + len(cards)
+    out = got.text.split(" ; ")
+    assert all(re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", p) for p in out[:60]) and len({*out}) == len({*phones, *ips, *cards})
+    assert all(luhn(c) == 0 and c[0] == "4" for c in out[120:]) and not {*out} & {*phones, *ips, *cards}
+
+
+def test_colliding_surrogates_are_salted(spark, monkeypatch):
+    """With letters for eight surnames only, most of forty collide at first."""
+    monkeypatch.setattr(surrogates, "LETTERS", {k: ("b", "ae") for k in surrogates.LETTERS})
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("bcdfgh") + rng.choice("aeiou") for _ in range(3)).capitalize() for _ in range(40)})
+    df = spark.createDataFrame([(1, "; ".join(f"Mr. {n}" for n in names)), (2, f"Mrs. {names[3]} and {names[3]}")], "i int, text string")
+    assert surrogates.collisions(df, "k").count() > len(names) // 2
+    got = {r.i: r.text for r in surrogates.replace_entities(df, "k").collect()}
+    new = re.findall(r"Mr\. (\w+)", got[1])
+    assert len(set(new)) == len(names) and not set(new) & set(names) and got[2] == f"Mrs. {new[3]} and {new[3]}"
+
+
+def test_long_texts_keep_all_but_the_entities(spark):
+    filler = "plain words here. " * 20_000
+    got = replaced(spark, [filler + "call 555-123-4567 " + filler + "Ms. Vera Kowalski wrote. " + filler + "Kowalski"])[0]
+    assert got.n_entities == 3 and got.text.startswith(filler + "call ") and "Kowalski" not in got.text and "555-123" not in got.text
+    assert len(got.text) > 3 * len(filler)
