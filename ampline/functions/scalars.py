@@ -30,6 +30,32 @@ def is_missing_token(c: Column) -> Column:
     return F.coalesce(t.isin(*MISSING_TOKENS) | is_missing(to_number(c)), F.lit(True))
 
 
+def parse_timestamp(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm")) -> Column:
+    """A raw string as timestamp without zone, by the first format that fits; else NULL."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+
+
+def shift_hours(c: Column, hours: float) -> Column:
+    """A local time as another zone's, some hours earlier (negative) or later."""
+    return c + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(int(round(hours * 60))))
+
+
+def day_range(start: str, stop: str | None = None) -> tuple[Column, Column]:
+    """Half-open interval of one date, or of two with both their days."""
+    day = lambda d: F.to_date(F.lit(d))
+    return day(start).cast("timestamp_ntz"), F.date_add(day(stop or start), 1).cast("timestamp_ntz")
+
+
+def column_or_null(df: DataFrame, name: str, kind: str = "double") -> Column:
+    """A table's column, or NULL of that type if it has none of that name."""
+    return F.col(name).cast(kind).alias(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+
+
+def not_blank(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose string has something besides white space."""
+    return df.where(F.length(F.trim(F.col(column))) > 0)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """part / whole * 100; NULL where whole is 0."""
     return F.try_divide(part * F.lit(100.0), whole)

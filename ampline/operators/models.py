@@ -44,6 +44,21 @@ def tune_ridge(train: DataFrame, validation: DataFrame, numeric: list[str], cate
     return min(results, key=lambda r: (r[1], r[0]))[0], results
 
 
+def refit_ridge(train: DataFrame, test: DataFrame, reg: float, numeric: list[str], category: str | None, label: str = "actual") -> tuple[PipelineModel, DataFrame]:
+    """The model of a chosen penalty, fitted on the whole training span, and its predictions for the test span."""
+    model = pipeline("linear", numeric, category, label, reg).fit(train)
+    return model, score(model, test)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline in a folder that the cluster shares; one that is there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def metrics_frame(predicted: DataFrame, model: str, label: str = "actual", prediction: str = "prediction") -> DataFrame:
     """RMSE, MAE and R² as one row of plain aggregates."""
     y, e = F.col(label), F.col(label) - F.col(prediction)

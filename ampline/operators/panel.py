@@ -17,18 +17,44 @@ def enrich(fact: DataFrame, dim: DataFrame, key: str, exogenous: DataFrame | Non
     return out if exogenous is None else out.join(exogenous, on, "left")
 
 
-def site_hourly(df: DataFrame, site: str, entity: str, time: str, value: str) -> DataFrame:
-    """Total and number of active entities of each site and hour; entities are summed up first, so each counts once."""
-    each = df.groupBy(F.col(site).alias("site"), F.col(entity).alias("entity"), F.date_trunc("hour", time).cast("timestamp_ntz").alias("ts")).agg(F.sum(value).alias("v"))
-    return each.groupBy("site", "ts").agg(F.sum("v").alias("total"), F.count("*").alias("active"))
+def existence_flag(left: DataFrame, right: DataFrame, keys: list[str], name: str = "present") -> DataFrame:
+    """Left rows with 1 where right has their keys, else 0; right's rows are made distinct first, so left's number stays."""
+    there = right.select(*keys).distinct().withColumn(name, F.lit(1))
+    return left.join(there, keys, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
-def site_daily(hourly: DataFrame) -> DataFrame:
-    return hourly.groupBy("site", F.to_date("ts").alias("date")).agg(F.sum("total").alias("total"), F.avg("total").alias("mean"), F.min("total").alias("least"), F.max("total").alias("most"), F.max("active").alias("active"), F.count("*").alias("hours"))
+def inner_on(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Left rows that right has the keys of, with right's columns: a test set and its features."""
+    return left.join(right.select(*keys, *columns), keys)
 
 
-def iqr_bounds(df: DataFrame, site: str, value: str, exact: bool = True, accuracy: int = 10_000, factor: float = 1.5) -> DataFrame:
-    """Quartiles of each site and the bounds factor times their distance beyond them."""
+def constant_by(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Attributes that do not vary within a key: the first value that is not null."""
+    return df.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
+
+
+def site_hourly(df: DataFrame, site: str, entity: str, time: str, value: str, exogenous: tuple[str, ...] = ()) -> DataFrame:
+    """Total and number of active entities of each site and hour; entities are summed up first, so each counts once.
+
+    exogenous: columns that are the same for all entities of a site and hour; they are carried along.
+    """
+    carried = [F.first(c, ignorenulls=True).alias(c) for c in exogenous]
+    each = df.groupBy(F.col(site).alias("site"), F.col(entity).alias("entity"), F.date_trunc("hour", time).cast("timestamp_ntz").alias("ts")).agg(F.sum(value).alias("v"), *carried)
+    return each.groupBy("site", "ts").agg(F.sum("v").alias("total"), F.count("*").alias("active"), *carried)
+
+
+def site_daily(hourly: DataFrame, exogenous: tuple[str, ...] = ()) -> DataFrame:
+    """Daily sums, means and extremes of site-hours, with the means of exogenous columns."""
+    means = [F.avg(c).alias(f"avg_{c}") for c in exogenous]
+    return hourly.groupBy("site", F.to_date("ts").alias("date")).agg(F.sum("total").alias("total"), F.avg("total").alias("mean"), F.min("total").alias("least"), F.max("total").alias("most"), F.max("active").alias("active"), F.count("*").alias("hours"), *means)
+
+
+def iqr_bounds(df: DataFrame, site: str, value: str, exact: bool = False, accuracy: int = 10_000, factor: float = 1.5) -> DataFrame:
+    """Quartiles of each site and the bounds factor times their distance beyond them.
+
+    By default the quartiles come from a sketch of bounded size (rank error 1 / accuracy). exact: interpolated ones, for
+    which a site's distinct values are held in one buffer; for panels, not for raw readings.
+    """
     q = (lambda p: F.percentile(F.col(value), p)) if exact else (lambda p: F.percentile_approx(F.col(value), p, accuracy))
     out = df.groupBy(site).agg(q(0.25).alias("q1"), q(0.75).alias("q3"))
     width = (F.col("q3") - F.col("q1")) * factor

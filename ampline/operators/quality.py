@@ -41,6 +41,23 @@ def columns_by_missing(df: DataFrame, ids: list[str], threshold: float = 50.0) -
     return [c for i, c in enumerate(values) if row["n"] and 100.0 * row[f"m{i}"] / row["n"] <= threshold]
 
 
+def keep_columns(df: DataFrame, ids: list[str], threshold: float = 50.0) -> DataFrame:
+    """Wide form: the ids and the value columns whose missing rate is at most the threshold."""
+    return df.select(*[F.col(f"`{c}`") for c in [*ids, *columns_by_missing(df, ids, threshold)]])
+
+
+def order_by_list(df: DataFrame, column: str, order: list) -> DataFrame:
+    """Rows sorted by their value's place in a list; values that it lacks come last, by value."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return df.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), column)
+
+
+def feature_audit(parts: dict[str, DataFrame], features: list[str]) -> DataFrame:
+    """Rows and missing values of each feature in each part of a split."""
+    rows = [null_profile(df, features).withColumn("part", F.lit(name)) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -13,9 +13,11 @@ GAP_CLASSES = [(1, "1"), (3, "2-3"), (6, "4-6"), (24, "7-24"), (72, "25-72")]
 
 
 def wide_to_long(df: DataFrame, ids: list[str], names: str = "entity", values: str = "value") -> DataFrame:
-    """Unpivot all columns but ids, as lenient numbers; missing values stay as NULL rows."""
+    """Unpivot all columns but ids, as lenient numbers; missing values stay as NULL rows. Ids alone make no rows."""
     meters = [c for c in df.columns if c not in ids]
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    if not meters:
+        return df.select(*[quoted(c) for c in ids], F.lit("").alias(names), F.lit(None).cast("double").alias(values)).limit(0)
     numbers = df.select(*[quoted(c) for c in ids], *[to_number(quoted(c).cast("string")).alias(c) for c in meters])
     return numbers.unpivot([quoted(c) for c in ids], [quoted(c) for c in meters], names, values)
 
@@ -26,14 +28,17 @@ def long_to_wide(df: DataFrame, ids: list[str], names: str, values: str, columns
 
 
 def grid(df: DataFrame, keys: list[str], time: str, step: str = "1 hour") -> DataFrame:
-    """Every key at every step from the table's first to its last time."""
-    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
-    axis = ends.select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(time))
+    """Every key at every step from the table's first to its last time (two values, found at once)."""
+    ends = df.agg(F.min(time).cast("string").alias("a"), F.max(time).cast("string").alias("b")).first()
+    kind = df.schema[time].dataType
+    one = df.sparkSession.range(1).select(F.lit(ends["a"]).cast(kind).alias("a"), F.lit(ends["b"]).cast(kind).alias("b"))
+    axis = one.select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(time))
     return df.select(*keys).distinct().crossJoin(F.broadcast(axis))  # one row a step of the axis
 
 
 def densify(df: DataFrame, keys: list[str], time: str, value: str, step: str = "1 hour") -> DataFrame:
-    """Left join of the table onto the grid, with target_available."""
+    """Left join of the table onto the grid, with target_available. The table is read for its ends, its keys and the join:
+    materialize() an expensive one first."""
     full = grid(df, keys, time, step).join(df, [*keys, time], "left")
     return full.withColumn("target_available", (~is_missing(F.col(value))).cast("int"))
 
@@ -73,14 +78,18 @@ def gap_classes(gaps: DataFrame) -> DataFrame:
     return gaps.select(bucket(F.col("gap_length"), GAP_CLASSES, ">72").alias("gap_class"), "gap_length").groupBy("gap_class").agg(F.count("*").alias("gaps"), F.sum("gap_length").alias("steps"))
 
 
-def impute_median(df: DataFrame, group: str, columns: list[str], exact: bool = True) -> DataFrame:
-    """Missing values by the group's median, else by the table's. Medians are of present values only."""
+def impute_median(df: DataFrame, group: str, columns: list[str], exact: bool = True, present: DataFrame | None = None) -> DataFrame:
+    """Missing values by the group's median, else by the table's. Medians are of present values only.
+
+    present: a table with all the present values (a panel before it was densified), which spares reading df again.
+    """
     median = (lambda c: F.percentile(c, 0.5)) if exact else (lambda c: F.percentile_approx(c, 0.5, 100_000))
     own = df.withColumns({c: clean(F.col(c)) for c in columns})
-    by = own.groupBy(group).agg(*[median(F.col(c)).alias(f"__g_{c}") for c in columns])
-    all_ = own.agg(*[median(F.col(c)).alias(f"__a_{c}") for c in columns])  # one row
-    joined = own.join(by, group, "left").crossJoin(F.broadcast(all_))
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__g_{c}"), F.col(f"__a_{c}")) for c in columns}).drop(*[f"__{k}_{c}" for c in columns for k in "ga"])
+    have = own if present is None else present.withColumns({c: clean(F.col(c)) for c in columns})
+    by = have.groupBy(group).agg(*[median(F.col(c)).alias(f"__g_{c}") for c in columns])
+    all_ = have.agg(*[median(F.col(c)).alias(c) for c in columns]).first()  # one row
+    joined = own.join(by, group, "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__g_{c}"), F.lit(all_[c])) for c in columns}).drop(*[f"__g_{c}" for c in columns])
 
 
 def time_split(df: DataFrame, time: str, at: str) -> tuple[DataFrame, DataFrame]:

@@ -15,8 +15,10 @@ from ampline.operators import panel as P
 from ampline.operators import quality as Q
 from ampline.operators import series as T
 from ampline.plans import views as V
+from ampline.sources import io
 from ampline.sources.io import artifact_check as check_rows
-from ampline.sources.io import read_table
+from ampline.sources.io import materialize, read_table
+from ampline.sources.store import line
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,13 +51,13 @@ def hourly(s, d):
 
 
 def dense(s, d):
-    return T.densify(hourly(s, d), ["site"], "ts", "total")
+    return T.densify(materialize(hourly(s, d)), ["site"], "ts", "total")
 
 
 def buckets(s, d):
     """Sums of each entity in 6-hour buckets, dense."""
     e = readings(s, d).groupBy("entity", F.window(F.col("ts").cast("timestamp"), "6 hours")["start"].cast("timestamp_ntz").alias("ts")).agg(F.sum("value").alias("value"))
-    return T.densify(e, ["entity"], "ts", "value", "6 hours")
+    return T.densify(materialize(e), ["entity"], "ts", "value", "6 hours")
 
 
 def daily_panel(s, d):
@@ -65,7 +67,7 @@ def daily_panel(s, d):
 
 
 def daily_features(s, d):
-    full = T.densify(daily_panel(s, d), ["site"], "ts", "total", "1 day")
+    full = T.densify(materialize(daily_panel(s, d)), ["site"], "ts", "total", "1 day")
     lagged = T.lag_features(full, ["site"], "ts", "total", [(1, "1"), (7, "7"), (28, "28")])
     return T.rolling_features(lagged, ["site"], "ts", "total", [(7, "7"), (28, "28")])
 
@@ -74,8 +76,8 @@ def forecast(s, d):
     """Naive forecast of the hourly panel: the value a day before."""
     lagged = T.lag_features(dense(s, d), ["site"], "ts", "total", [(24, "24")])
     f = lagged.where("total is not null and lag_24 is not null").select("site", "ts", F.col("total").alias("actual"), F.col("lag_24").alias("prediction"))
-    f = S.error_columns(f)
-    return P.mark_outliers(f, "site", "actual").select("site", "ts", "actual", "prediction", "error", "absolute_error", "squared_error", "absolute_percentage_error", "is_outlier")
+    f = materialize(S.error_columns(f))  # written once, as the reports' table
+    return P.mark_outliers(f, "site", "actual", exact=True).select("site", "ts", "actual", "prediction", "error", "absolute_error", "squared_error", "absolute_percentage_error", "is_outlier")
 
 
 def exogenous(s, d):
@@ -225,9 +227,11 @@ def zero_rate_by_site(s, d):
     return rounded(Q.zero_rate(read_table(s, d, "lineitem").withColumnRenamed("l_returnflag", "site"), "site", "l_discount"))
 
 
-@register(f"with {H} select site, count(*) as rows, count(distinct ts) as times, min(ts) as first_time, max(ts) as last_time, 720 - count(distinct ts) as missing_times, round(count(distinct ts) * 100.0 / 720, 4) as coverage from h group by site")
+@register(f"with {H} select site, count(*) as rows, count(distinct ts) as times, min(ts) as first_time, max(ts) as last_time, n - count(distinct ts) as missing_times, round(count(distinct ts) * 100.0 / n, 4) as coverage from h, (select date_diff('hour', min(ts), max(ts)) + 1 as n from h) group by site, n")
 def time_coverage(s, d):
-    return rounded(Q.time_coverage(hourly(s, d), "site", "ts", 720))
+    h = materialize(hourly(s, d))
+    ends = h.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    return rounded(Q.time_coverage(h, "site", "ts", int((ends["b"] - ends["a"]).total_seconds()) // 3600 + 1))
 
 
 def _by_nation(s, d):
@@ -241,10 +245,10 @@ def before_after_counts(s, d):
     return Q.before_after_counts(a, b, "c_nationkey", "entity")
 
 
-@register("select c_custkey as entity from customer where c_nationkey = 7 and c_custkey not in (select user_id from events)")
+@register("select c_nationkey, c_custkey as entity from customer where c_custkey not in (select user_id from events)")
 def removed_entities(s, d):
     a, b = _by_nation(s, d)
-    return Q.unmatched(a.where("c_nationkey = 7"), b, ["entity"])
+    return Q.unmatched(a, b, ["c_nationkey", "entity"])
 
 
 @register("select props as token, count(*) as n from events group by 1 order by n desc, token nulls first limit 20")
@@ -256,7 +260,9 @@ def raw_token_frequency(s, d):
 
 
 def exo_grid(s, d):
-    return T.densify(exogenous(s, d), ["site"], "ts", "price", "1 day").drop("target_available")
+    """The exogenous panel, and it on a dense grid."""
+    x = materialize(exogenous(s, d))
+    return x, T.densify(x, ["site"], "ts", "price", "1 day").drop("target_available")
 
 
 XG = f"{X}, xax as (select unnest(generate_series((select min(ts) from x), (select max(ts) from x), interval 1 day)) as ts), xd as (select k.site, xax.ts, x.price from (select distinct site from x) k cross join xax left join x on x.site = k.site and x.ts = xax.ts)"
@@ -264,7 +270,8 @@ XG = f"{X}, xax as (select unnest(generate_series((select min(ts) from x), (sele
 
 @register(f"with {XG}, m as (select site, quantile_cont(price, 0.5) as m from xd group by site) select xd.site, ts, round(coalesce(price, m.m, (select quantile_cont(price, 0.5) from xd)), 6) as price from xd left join m using (site)")
 def impute_median(s, d):
-    return rounded(T.impute_median(exo_grid(s, d), "site", ["price"]), 6)
+    x, full = exo_grid(s, d)
+    return rounded(T.impute_median(full, "site", ["price"], present=x), 6)
 
 
 @register(f"with {X} select site, round(quantile_cont(price, 0.5), 4) as median from x group by site")
@@ -317,7 +324,7 @@ def site_daily(s, d):
 
 @register(f"with {IQR} select site, round(q1, 4) as q1, round(q3, 4) as q3, round(lower_bound, 4) as lower_bound, round(upper_bound, 4) as upper_bound from bo")
 def iqr_bounds_exact(s, d):
-    return rounded(P.iqr_bounds(hourly(s, d), "site", "total"))
+    return rounded(P.iqr_bounds(hourly(s, d), "site", "total", exact=True))
 
 
 @register(f"with {H}, q as (select site, quantile_disc(total, 0.25) as q1, quantile_disc(total, 0.75) as q3 from h group by site) select site, round(q1, 4) as q1, round(q3, 4) as q3, round(q1 - 1.5 * (q3 - q1), 4) as lower_bound, round(q3 + 1.5 * (q3 - q1), 4) as upper_bound from q")
@@ -326,7 +333,7 @@ def iqr_bounds_approx(s, d):
 
 
 def marked(s, d):
-    return P.mark_outliers(hourly(s, d), "site", "total")
+    return P.mark_outliers(materialize(hourly(s, d)), "site", "total", exact=True)
 
 
 @register(f"with {IQR} select site, ts, round(total, 4) as total, active, round(q1, 4) as q1, round(q3, 4) as q3, round(lower_bound, 4) as lower_bound, round(upper_bound, 4) as upper_bound, is_outlier from mk")
@@ -336,7 +343,7 @@ def mark_outliers(s, d):
 
 @register(f"with {IQR} select site, ts, (total > upper_bound)::int as is_outlier from mk")
 def mark_outliers_upper(s, d):
-    return P.mark_outliers(hourly(s, d), "site", "total", side="upper").select("site", "ts", "is_outlier")
+    return P.mark_outliers(materialize(hourly(s, d)), "site", "total", side="upper", exact=True).select("site", "ts", "is_outlier")
 
 
 @register(f"with {IQR} select site, count(*) as rows, sum(is_outlier)::bigint as outliers, round(sum(is_outlier) * 100.0 / count(*), 4) as outlier_rate from mk group by site")
@@ -400,7 +407,7 @@ def incomplete_frames(s, d):
 
 @register(f"with {D}, {X} select pd.site, pd.ts, round(pd.total, 6) as total, round(x.price, 6) as price from pd left join x on x.site = pd.site and x.ts = pd.ts")
 def join_exogenous(s, d):
-    return rounded(P.enrich(T.densify(daily_panel(s, d), ["site"], "ts", "total", "1 day"), exogenous(s, d), ["site", "ts"]).select("site", "ts", "total", "price"), 6)
+    return rounded(P.enrich(T.densify(materialize(daily_panel(s, d)), ["site"], "ts", "total", "1 day"), exogenous(s, d), ["site", "ts"]).select("site", "ts", "total", "price"), 6)
 
 
 @register(f"with {D} select case when ts < timestamp '2000-01-01' then 'train' else 'test' end as part, count(*) as rows, count(distinct site) as sites from pf where total is not null and lag_1 is not null and lag_7 is not null and lag_28 is not null group by 1")
@@ -514,10 +521,160 @@ def forecast_listing(s, d):
     return rounded(V.report(forecast(s, d), V.LISTING))
 
 
-@register("select 'events' as dataset, count(*) as actual, count(*) as expected, 'PASS' as status from events union all select 'region', count(*), 6, 'FAIL' from region")
+#: Rows that fixed tables must have; the last entry is wrong on purpose, so that a FAIL is seen too.
+EXPECTED = {"region": 5, "nation": 25, "nation_wrong": 24}
+
+
+@register("select 'region' as dataset, count(*) as actual, 5 as expected, if(count(*) = 5, 'PASS', 'FAIL') as status from region union all select 'nation', count(*), 25, if(count(*) = 25, 'PASS', 'FAIL') from nation union all select 'nation_wrong', count(*), 24, if(count(*) = 24, 'PASS', 'FAIL') from nation")
 def artifact_check(s, d):
+    return check_rows(s, {name: (read_table(s, d, name.split("_")[0]), n) for name, n in EXPECTED.items()})
+
+
+# ---- files, sinks, raw text ----------------------------------------------------------------------------------------
+
+
+def _csv(s, df) -> str:
+    path = io.scratch_dir(s)
+    df.coalesce(1).write.option("header", True).csv(path)
+    return path
+
+
+@register("select c_mktsegment, count(*) as n, round(sum(c_acctbal), 4) as acctbal from customer group by 1")
+def csv_inferred(s, d):
+    df = io.read_csv(s, _csv(s, read_table(s, d, "customer")), infer=True)
+    return rounded(df.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("acctbal")))
+
+
+@register("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
+def csv_strings(s, d):
+    return io.read_csv(s, _csv(s, read_table(s, d, "nation")))
+
+
+@register("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation where n_nationkey % 3 = 0")
+def raw_rows(s, d):
+    n = read_table(s, d, "nation")
+    text = F.when(F.col("n_nationkey") % 3 == 0, F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey")).when(F.col("n_nationkey") % 3 == 1, F.concat_ws(",", "n_nationkey", "n_name")).otherwise(F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey", F.lit("more")))
+    path = io.scratch_dir(s)
+    head = s.createDataFrame([(-1, "n_nationkey,n_name,n_regionkey")], "k int, value string")
+    head.unionByName(n.select(F.col("n_nationkey").alias("k"), text.alias("value"))).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return io.read_raw_rows(s, path)
+
+
+@register("select (select count(*) from lineitem) as rows, -1::bigint as absent")
+def footer_row_count(s, d):
+    return s.createDataFrame([(io.row_count(s, f"{d}/lineitem.parquet"), io.row_count(s, f"{d}/no_such_table.parquet"))], "rows long, absent long")
+
+
+@register(f"with {H} select 'load,site=' || site || ' active=' || cast(active as varchar) || 'i ' || cast(epoch_us(ts) * 1000 as varchar) as line from h")
+def line_protocol(s, d):
+    return hourly(s, d).select(line("load", ["site"], ["active"], "ts").alias("line"))
+
+
+@register("select c_custkey, c_name from customer where c_custkey % 4 <> 0")
+def blank_filter(s, d):
+    c = read_table(s, d, "customer").withColumn("c_name", F.when(F.col("c_custkey") % 4 == 0, "  ").otherwise(F.col("c_name")))
+    return S.not_blank(c, "c_name").select("c_custkey", "c_name")
+
+
+@register(f"with {H}, k as (select distinct ts from h), r as (select z.site from (select distinct site from h) z join h using (site) group by z.site having (select count(*) from k) - count(*) <= 0.6 * (select count(*) from k)) select k.ts, r.site as entity, round(h.total, 4) as value from k cross join r left join h on h.ts = k.ts and h.site = r.site")
+def kept_columns(s, d):
+    return rounded(T.wide_to_long(Q.keep_columns(materialize(wide(s, d)), ["ts"], 60.0), ["ts"]))
+
+
+@register("select event_id, value, cast(null as double) as humidity from events")
+def missing_column(s, d):
     e = read_table(s, d, "events")
-    return check_rows(s, {"events": (e, e.count()), "region": (read_table(s, d, "region"), 6)})
+    return e.select("event_id", S.column_or_null(e, "value"), S.column_or_null(e, "humidity"))
+
+
+@register("select event_id, ts, date_trunc('second', ts) - interval 7 hours as shifted, strftime(ts, '%Y-%m-%d %H:%M') as minute, format('{:,.2f}', value) as amount from (select event_id, date_trunc('second', ts) as ts, value from events)")
+def timestamp_text(s, d):
+    e = read_table(s, d, "events").withColumn("ts", F.date_trunc("second", "ts"))
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
+    ts = S.parse_timestamp(text, ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss"))
+    e = e.select("event_id", ts.alias("ts"), "value")
+    return e.select("event_id", "ts", S.shift_hours(F.col("ts"), -7).alias("shifted"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.format_number("value", 2).alias("amount"))
+
+
+@register("select count(*) as n, count(distinct ts::date) as days from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-13'")
+def date_interval(s, d):
+    a, b = S.day_range("2024-01-10", "2024-01-12")
+    return read_table(s, d, "events").where((F.col("ts") >= a) & (F.col("ts") < b)).agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"))
+
+
+@register("select count(*) as n from (select * from events limit 10)")
+def limit_rows(s, d):
+    return read_table(s, d, "events").limit(10).agg(F.count("*").alias("n"))
+
+
+@register("select event_type as site, count(*) as rows, count(case when value > 50 then value end) as present from events group by 1")
+def count_present(s, d):
+    e = read_table(s, d, "events").withColumn("value", F.when(F.col("value") > 50, F.col("value")))
+    return e.groupBy(F.col("event_type").alias("site")).agg(F.count("*").alias("rows"), F.count("value").alias("present"))
+
+
+@register("select unnest([0.25, 0.5, 0.75])::double as p, unnest(quantile_disc(value, [0.25, 0.5, 0.75])) as value from events")
+def quantile_sketch(s, d):
+    ps = [0.25, 0.5, 0.75]
+    return s.createDataFrame(list(zip(ps, read_table(s, d, "events").approxQuantile("value", ps, 0.0))), "p double, value double")
+
+
+@register(f"with {RATE}, g as (select {BUCKET} as rate_class, count(*) as entities, list_position(['100%', '80-100%', '50-80%', '30-50%', '10-30%', '0-10%', '0%'], {BUCKET}) as k from r group by all) select rate_class, entities, row_number() over (order by k)::int as place from g")
+def custom_order(s, d):
+    g = Q.missing_distribution(Q.missing_rate_by_entity(buckets(s, d), "entity", "value")).drop("class_rank")
+    rows = [(r["rate_class"], r["entities"], i + 1) for i, r in enumerate(Q.order_by_list(g, "rate_class", Q.RATE_ORDER[::-1]).collect())]  # a row a class
+    return s.createDataFrame(rows, "rate_class string, entities long, place int")
+
+
+@register("select name, count(*) as n from (select regexp_replace(column_name, '^[a-z]+_', '') as name from (select column_name from (describe orders) union all select column_name from (describe customer))) group by 1 having count(*) > 1")
+def duplicate_columns(s, d):
+    header = [c.split("_", 1)[1] for t in ("orders", "customer") for c in read_table(s, d, t).columns]
+    return s.createDataFrame(list(Q.duplicate_columns(header).items()), "name string, n long")
+
+
+# ---- joins and carried attributes ----------------------------------------------------------------------------------
+
+
+@register("select c_custkey, (c_custkey in (select user_id from events))::int as present from customer")
+def existence_flag(s, d):
+    e = read_table(s, d, "events").select(F.col("user_id").alias("c_custkey"))
+    return P.existence_flag(read_table(s, d, "customer").select("c_custkey"), e, ["c_custkey"])
+
+
+@register(f"with {L} select f.site, f.ts, round(f.actual, 4) as actual, h.active from f join h on f.site = h.site and f.ts = h.ts")
+def inner_two_keys(s, d):
+    return rounded(P.inner_on(forecast(s, d).select("site", "ts", "actual"), hourly(s, d), ["site", "ts"], ["active"]))
+
+
+@register("select c_custkey % 10 as key, any_value(c_custkey % 5) filter (c_custkey % 3 = 0) as attribute from customer group by 1")
+def constant_attribute(s, d):
+    c = read_table(s, d, "customer").select((F.col("c_custkey") % 10).alias("key"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 5).alias("attribute"))
+    return P.constant_by(c, ["key"], ["attribute"])
+
+
+EXO = f"{E}, eh as (select site, entity, ts, sum(value) as v from e group by all), h as (select site, ts, sum(v) as total, count(*) as active, any_value(cast(hour(ts) + length(site) / 2.0 as double)) as temperature, any_value(cast(hour(ts) * 15.0 as double)) as wind from eh group by all)"
+
+
+def hourly_with_exogenous(s, d):
+    r = readings(s, d).withColumns({"temperature": F.hour("ts") + F.length("site") / 2.0, "wind": F.hour("ts") * F.lit(15.0)})
+    return P.site_hourly(r, "site", "entity", "ts", "value", ("temperature", "wind"))
+
+
+@register(f"with {EXO} select site, ts, round(total, 4) as total, active, round(temperature, 4) as temperature, round(wind, 4) as wind from h")
+def site_hourly_exogenous(s, d):
+    return rounded(hourly_with_exogenous(s, d))
+
+
+@register(f"with {EXO} select site, ts::date as date, round(sum(total), 4) as total, count(*) as hours, round(avg(temperature), 4) as avg_temperature, round(avg(wind), 4) as avg_wind from h group by site, ts::date")
+def site_daily_exogenous(s, d):
+    out = P.site_daily(hourly_with_exogenous(s, d), ("temperature", "wind"))
+    return rounded(out.select("site", "date", "total", "hours", "avg_temperature", "avg_wind"))
+
+
+@register(f"with {D} select case when ts < timestamp '2000-01-01' then 'train' else 'test' end as part, count(*) as rows, sum((total is null)::int)::bigint as total_missing, sum((lag_1 is null)::int)::bigint as lag_1_missing, sum((lag_28 is null)::int)::bigint as lag_28_missing from pf group by 1")
+def split_audit(s, d):
+    a, b = T.time_split(daily_features(s, d), "ts", "2000-01-01 00:00:00")
+    return Q.feature_audit({"train": a, "test": b}, ["total", "lag_1", "lag_28"])
 
 
 # ---- models --------------------------------------------------------------------------------------------------------
@@ -526,8 +683,8 @@ def artifact_check(s, d):
 def _ready(s, d):
     f = daily_features(s, d).where("lag_ready = 1")
     f = f.withColumns(S.cyclical(F.month("ts") - 1, 12, "month") | {"actual": F.col("total"), "region": F.col("site").cast("string")})
-    # fitted and scored several times: a panel of a row per region and day
-    return T.time_split(f.persist(), "ts", "2000-01-01 00:00:00")
+    # fitted and scored several times: a panel of a row per region and day, written once
+    return T.time_split(materialize(f), "ts", "2000-01-01 00:00:00")
 
 
 _NUM = ["lag_1", "lag_7", "lag_28", "month_sin", "month_cos"]
@@ -574,3 +731,40 @@ def model_comparison(s, d):
     for name, kind, options in (("linear", "linear", {}), ("ridge", "linear", {"reg": 10.0}), ("random_forest", "forest", {})):
         out = out.unionByName(M.metrics_frame(M.score(M.pipeline(kind, _NUM, "region", **options).fit(train), test), name))
     return out
+
+
+#: Normal equations of one feature, solved in closed form; the same forecasts come from the fitted pipeline.
+ONE = f"with {D}, t as (select site, ts, total as y, lag_7 as x from pf where total is not null and lag_1 is not null and lag_7 is not null and lag_28 is not null), tr as (select * from t where ts < timestamp '2000-01-01')"
+
+
+def _one_feature(s, d, reg: float):
+    train, test = _ready(s, d)
+    model, out = M.refit_ridge(train, test, reg, ["lag_7"], None)
+    path = io.scratch_dir(s)
+    M.save_model(model, path)
+    return M.score(M.load_model(path), test).select("site", "ts", "actual", "prediction")
+
+
+@register(f"{ONE}, c as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from tr) select site, ts, round(y, 2) as actual, round(a + b * x, 2) as prediction from t, c where ts >= timestamp '2000-01-01'")
+def linear_saved_and_scored(s, d):
+    return rounded(_one_feature(s, d, 0.0), 2)
+
+
+_RIDGE = "c as (select covar_pop(y, x) / (var_pop(x) * (1 + 10.0 / stddev_pop(y))) as b, avg(y) as my, avg(x) as mx from tr)"
+
+
+@register(f"{ONE}, {_RIDGE} select site, ts, round(y, 2) as actual, round(my + b * (x - mx), 2) as prediction from t, c where ts >= timestamp '2000-01-01'")
+def ridge_refit_and_scored(s, d):
+    return rounded(_one_feature(s, d, 10.0), 2)
+
+
+_METRICS = "count(*) as records, round(sqrt(avg((y - p) * (y - p))), 2) as rmse, round(avg(abs(y - p)), 2) as mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 4) as r2"
+
+
+@register(f"{ONE}, {_RIDGE}, l as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from tr), te as (select * from t where ts >= timestamp '2000-01-01'), m as (select 'naive' as model, y, x as p from te union all select 'linear', y, l.a + l.b * x from te, l union all select 'ridge', y, my + c.b * (x - mx) from te, c) select model, {_METRICS} from m group by model")
+def model_metrics(s, d):
+    train, test = _ready(s, d)
+    out = M.metrics_frame(test, "naive", "actual", "lag_7")
+    for name, reg in (("linear", 0.0), ("ridge", 10.0)):
+        out = out.unionByName(M.metrics_frame(M.refit_ridge(train, test, reg, ["lag_7"], None)[1], name))
+    return out.select("model", "records", F.round("rmse", 2).alias("rmse"), F.round("mae", 2).alias("mae"), F.round("r2", 4).alias("r2"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,6 +24,49 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Names in the header line of a CSV file, repeats included, as they are written."""
+    line = spark.read.text(path).limit(1).first()
+    return [c.strip() for c in line["value"].split(sep)] if line else []
+
+
+def read_raw_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Rows of a CSV file as strings under its header's names; rows with fewer or more fields than the header are dropped.
+
+    Lines are split at each separator (quoted separators are not looked for), so a short row is not filled with nulls.
+    """
+    header = csv_header(spark, path, sep)
+    lines = spark.read.text(path).select(F.split("value", f"\\Q{sep}\\E", -1).alias("f"))
+    rows = lines.where((F.size("f") == len(header)) & (F.array_join("f", sep) != sep.join(header)))
+    return rows.select(*[F.trim(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(header)])
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: spark.checkpoint.dir; on a local master a temporary one if unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="scratch-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/panel-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back; lost executors cost no recomputation."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def show(df: DataFrame, rows: int = 20):
+    """Print a batch's first rows; start a console query for a stream and return it."""
+    if df.isStreaming:
+        return df.writeStream.format("console").option("numRows", rows).outputMode("update").start()
+    df.show(rows, truncate=False)
+    return None
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
