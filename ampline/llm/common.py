@@ -118,21 +118,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates hooking of every node to the smallest label among its neighbours with pointer jumping, so the number
     of rounds grows with the logarithm of a component's diameter. Each round is a few joins and aggregations on the
-    nodes that have a link at all; state between rounds is checkpointed in the shared folder. Self-loops and repeated
-    edges are allowed. Nothing but the number of changed labels reaches the driver.
+    nodes that have a link at all; tables between rounds are written in the shared folder and deleted when the next one
+    is. Self-loops and repeated edges are allowed. Nothing but the number of changed labels reaches the driver.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
+    both = stage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
     while True:
         # the smallest label next to each node
         near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        seen = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
+        seen = stage(labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m")))
         # what a neighbour knows also goes to the node that has been the label so far
         told = seen.groupBy(F.col("l").alias("u")).agg(F.min("m").alias("t"))
-        hooked = seen.join(told, "u", "left").select("u", F.col("l").alias("old"), F.least("m", F.coalesce("t", "m")).alias("l"))
+        hooked = stage(seen.join(told, "u", "left").select("u", F.col("l").alias("old"), F.least("m", F.coalesce("t", "m")).alias("l")))
         up = hooked.select(F.col("u").alias("l"), F.col("l").alias("g"))
-        step = cut(hooked.join(up, "l", "left").select("u", "old", F.least("l", F.coalesce("g", "l")).alias("l")))
-        labels = step.select("u", "l")
+        step = stage(hooked.join(up, "l", "left").select("u", "old", F.least("l", F.coalesce("g", "l")).alias("l")))
+        release(labels, seen, hooked)
+        labels = step
         if not step.where("old <> l").limit(1).count():
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+            release(both)
+            return step.select(F.col("u").alias("node"), F.col("l").alias("component"))
