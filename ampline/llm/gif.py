@@ -1,15 +1,15 @@
 """GIF media columns: frames, palettes, LZW code streams, disposal and transparency, colour histograms.
 
-The payload path writes 8-bit indices as literal LZW codes with a clear code before the code width would grow; the
-reader handles any code stream, and unpacks streams that never leave their first width by array arithmetic.
+Code streams have a dictionary that grows to 4,096 entries and starts anew when it is full. How many bits a code has
+follows from its place behind the last clear code, so that codes are packed and unpacked by array arithmetic; only the
+dictionary itself is kept code by code.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ WIDTH = 192
 #: Rows of a payload frame; the format allows 65,535.
 FRAME_ROWS = 65_535
 BINS = 8
+#: Codes that are unpacked at a time.
+BLOCK = 8192
 
 
 @dataclass
@@ -40,133 +42,118 @@ def payload_palette() -> np.ndarray:
     return np.stack([(i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3], 1).astype(np.uint8)
 
 
-def pack9(codes: np.ndarray) -> bytes:
-    """9-bit codes, lowest bit first."""
-    n = len(codes)
-    c = np.zeros((-(-n // 8), 8), np.uint16)
-    c.ravel()[:n] = codes
-    out = np.empty((len(c), 9), np.uint8)
-    for j in range(9):
-        v = c[:, j] << j if j < 8 else np.zeros(len(c), np.uint16)
-        out[:, j] = (v | (c[:, j - 1] >> (9 - j)) if j else v) & 255
-    return out.tobytes()[: -(-9 * n // 8)]
-
-
-def unpack9(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    b = np.zeros((-(-n // 8), 9), np.uint16)
-    b.ravel()[: len(data)] = data[: b.size]
-    out = np.empty((len(b), 8), np.uint16)
-    for j in range(8):
-        out[:, j] = (b[:, j] >> j | b[:, j + 1] << (8 - j)) & 511
-    return out.ravel()[:n]
-
-
-def literal_stream(pixels: np.ndarray) -> bytes:
-    """LZW code stream of 8-bit pixels in literals, cleared every 254 codes so that the width stays 9."""
-    n = len(pixels)
-    rows = -(-n // 254)
-    codes = np.full((max(rows, 1), 255), 256, np.uint16)
-    body = np.zeros(max(rows, 1) * 254, np.uint16)
-    body[:n] = pixels
-    codes[:, 1:] = body.reshape(-1, 254)
-    flat = codes.ravel()[: n + max(rows, 1)]
-    return pack9(np.append(flat, np.uint16(257)))
+@lru_cache(maxsize=16)
+def code_widths(bits: int) -> np.ndarray:
+    """Bits of the codes behind a clear code; all further ones have 12."""
+    known = np.arange(4096 + BLOCK) + (1 << bits) + 2
+    return np.minimum(12, np.maximum(bits + 1, np.ceil(np.log2(known)).astype(np.int64)))
+
+
+def pack(codes: np.ndarray, widths: np.ndarray, block: int = 1 << 17) -> bytes:
+    """Codes one behind the other, lowest bit first."""
+    out, rest = [], np.empty(0, np.uint8)
+    at = np.arange(12, dtype=np.int16)
+    codes, widths = codes.astype(np.int16), widths.astype(np.int16)
+    for i in range(0, len(codes), block):
+        c, w = codes[i : i + block, None], widths[i : i + block, None]
+        flat = np.concatenate([rest, (c >> at & 1)[at < w].astype(np.uint8)])
+        whole = len(flat) if i + block >= len(codes) else len(flat) & ~7
+        out.append(np.packbits(flat[:whole], bitorder="little").tobytes())
+        rest = flat[whole:]
+    return b"".join(out)
 
 
 def lzw_encode(pixels: np.ndarray, bits: int = 8) -> bytes:
-    """LZW code stream with a growing dictionary, for general images."""
-    clear, stop = 1 << bits, (1 << bits) + 1
-    acc = filled = 0
-    out = bytearray()
-    table: dict[tuple[int, int], int] = {}
-    width, nxt = bits + 1, stop + 1
-
-    def emit(code: int) -> None:
-        nonlocal acc, filled
-        acc |= code << filled
-        filled += width
-        while filled >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            filled -= 8
-
-    emit(clear)
-    prefix = -1
-    for p in pixels.tolist():
-        if prefix < 0:
-            prefix = p
-        elif (code := table.get((prefix, p))) is not None:
+    """LZW code stream with a growing dictionary."""
+    clear = 1 << bits
+    room = 4095 - clear - 2  # entries after which the dictionary is cleared
+    parts: list[np.ndarray] = [np.array([clear], np.int64)]
+    widths: list[np.ndarray] = [np.array([bits + 1], np.int64)]
+    data, schedule = pixels.tobytes(), code_widths(bits)
+    table: dict[int, int] = {}
+    codes: list[int] = []
+    get, put = table.get, codes.append
+    nxt = clear + 2
+    prefix = data[0] if data else -1
+    for p in data[1:]:
+        key = prefix << 8 | p
+        code = get(key)
+        if code is not None:
             prefix = code
-        else:
-            emit(prefix)
-            table[prefix, p] = nxt
-            nxt += 1
-            if nxt > 1 << width and width < 12:
-                width += 1
-            if nxt >= 4095:
-                emit(clear)
-                table.clear()
-                width, nxt = bits + 1, stop + 1
-            prefix = p
-    if prefix >= 0:
-        emit(prefix)
+            continue
+        put(prefix)
+        table[key] = nxt
         nxt += 1
-        if nxt > 1 << width and width < 12:
-            width += 1
-    emit(stop)
-    if filled:
-        out.append(acc & 255)
-    return bytes(out)
+        prefix = p
+        if nxt == 4095:
+            parts += [np.array(codes, np.int64), np.array([clear], np.int64)]
+            widths += [schedule[:room], np.array([12], np.int64)]
+            table.clear()
+            codes.clear()
+            nxt = clear + 2
+    if prefix >= 0:
+        put(prefix)
+    put(clear + 1)
+    parts.append(np.array(codes, np.int64))
+    widths.append(schedule[: len(codes)])
+    return pack(np.concatenate(parts), np.concatenate(widths))
 
 
 def lzw_decode(data: np.ndarray, bits: int, n: int) -> np.ndarray:
     """At most n pixels of a code stream; a stream that ends early leaves fewer."""
     clear, stop = 1 << bits, (1 << bits) + 1
-    if bits == 8:
-        codes = unpack9(data)
-        ends = np.flatnonzero(codes == stop)
-        codes = codes[: ends[0]] if len(ends) else codes
-        marks = np.flatnonzero(codes == clear)
-        if len(codes) and (codes <= clear).all() and np.diff(np.concatenate([[-1], marks, [len(codes)]])).max() <= 256:
-            return codes[codes != clear][:n].astype(np.uint8)
-    out = bytearray()
-    table: list[bytes] = []
-    width, acc, filled, prev = bits + 1, 0, 0, None
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+    schedule = code_widths(bits)
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table = base[:]
-    for byte in data.tolist():
-        acc |= byte << filled
-        filled += 8
-        while filled >= width:
-            code = acc & (1 << width) - 1
-            acc >>= width
-            filled -= width
-            if code == clear:
-                table, width, prev = base[:], bits + 1, None
-                continue
-            if code == stop:
-                return np.frombuffer(bytes(out[:n]), np.uint8)
-            if prev is None:
-                if code >= clear:
-                    raise ValueError("the code stream starts with an undefined code")
+    table: list[bytes] = base[:]
+    out: list[bytes] = []
+    pieces: list[bytes] = []
+    put, size = out.append, 0
+    at, since, prev = 0, 0, None  # bits read, codes since the last clear code, last entry
+    total = len(data) * 8
+    while size < n:
+        first = min(since, 4096)
+        width = schedule[first : first + min(BLOCK, (total - at) // (bits + 1) + 1)]
+        starts = at + np.concatenate([[0], np.cumsum(width)])
+        whole = int(np.searchsorted(starts[1:], total, "right"))
+        if not whole:
+            break
+        starts, width = starts[:whole], width[:whole]
+        byte = starts >> 3
+        codes = (padded[byte] | padded[byte + 1] << 8 | padded[byte + 2] << 16) >> (starts & 7) & (1 << width) - 1
+        marks = np.flatnonzero((codes == clear) | (codes == stop))
+        end = int(marks[0]) if len(marks) else whole
+        todo = codes[:end].tolist()
+        if todo and prev is None:
+            if todo[0] >= clear:
+                raise ValueError("the code stream starts with an undefined code")
+            prev = table[todo[0]]
+            put(prev)
+            del todo[0]
+        known, grow = len(table), table.append
+        for code in todo:
+            if code < known:
                 entry = table[code]
+            elif code == known < 4096:
+                entry = prev + prev[:1]
             else:
-                if code < len(table):
-                    entry = table[code]
-                elif code == len(table) and code < 4096:
-                    entry = prev + prev[:1]
-                else:
-                    raise ValueError("the code stream uses an undefined code")
-                if len(table) < 4096:
-                    table.append(prev + entry[:1])
-                    if len(table) == 1 << width and width < 12:
-                        width += 1
-            out += entry
+                raise ValueError("the code stream uses an undefined code")
+            if known < 4096:
+                grow(prev + entry[:1])
+                known += 1
+            put(entry)
             prev = entry
-            if len(out) >= n:
-                return np.frombuffer(bytes(out[:n]), np.uint8)
-    return np.frombuffer(bytes(out[:n]), np.uint8)
+        pieces.append(b"".join(out))
+        size += len(pieces[-1])
+        out.clear()
+        since += end
+        at = int(starts[end - 1] + width[end - 1]) if end else at
+        if len(marks):
+            at += int(width[end])
+            if codes[end] == stop:
+                break
+            table, since, prev = base[:], 0, None
+    return np.frombuffer(b"".join(pieces)[:n], np.uint8)
 
 
 def to_blocks(data: bytes) -> bytes:
@@ -192,7 +179,7 @@ def from_blocks(data: bytes, at: int) -> tuple[np.ndarray, int]:
     return np.concatenate(parts), at + p + 1
 
 
-def encode(frames: list[Frame], width: int, height: int, compress: bool = False) -> bytes:
+def encode(frames: list[Frame], width: int, height: int) -> bytes:
     """A GIF89a file; each frame has its own palette, delay, disposal and transparency."""
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0x70, 0, 0)]
     for f in frames:
@@ -203,7 +190,7 @@ def encode(frames: list[Frame], width: int, height: int, compress: bool = False)
         out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", f.disposal << 2 | (f.transparent is not None), f.delay_cs, f.transparent or 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, w, h, 0x80 | bits - 1) + table.tobytes())
         flat = np.ascontiguousarray(f.indices).ravel()
-        out.append(bytes([max(2, bits)]) + to_blocks(literal_stream(flat) if bits == 8 and not compress else lzw_encode(flat, max(2, bits))))
+        out.append(bytes([max(2, bits)]) + to_blocks(lzw_encode(flat, max(2, bits))))
     return b"".join([*out, b"\x3b"])
 
 
@@ -303,59 +290,63 @@ def store_texts(df: DataFrame, text_col: str = "text", out: str = "media") -> Da
     return df.withColumn(out, stored(F.col(text_col)))
 
 
-FRAME_TYPE = "struct<width:int,height:int,n_frames:int,duration_cs:int,payload:binary,histogram:array<bigint>,error:string>"
+#: A frame as it is shown: place, delay and start in hundredths of a second, and the colour counts of the canvas then.
+FRAMES = "array<struct<left:int,top:int,width:int,height:int,delay_cs:int,start_cs:int,disposal:int,transparent:int,histogram:array<bigint>>>"
+READ_TYPE = f"struct<width:int,height:int,duration_cs:int,payload:binary,frames:{FRAMES},error:string>"
+READ = ["width", "height", "duration_cs", "payload", "frames", "error"]
+
+
+def media_row(blob: bytes | None) -> dict:
+    """What READ_TYPE has, of GIF bytes; null bytes give nulls, bytes that can't be read the reason in error."""
+    none = dict.fromkeys(READ)
+    if blob is None:
+        return none
+    try:
+        width, height, frames = decode(bytes(blob))
+    except (ValueError, IndexError, struct.error) as e:
+        return none | {"error": str(e) or "broken"}
+    told, start = [], 0
+    for f in frames:
+        h, w = f.indices.shape
+        told.append({"left": f.left, "top": f.top, "width": w, "height": h, "delay_cs": f.delay_cs, "start_cs": start, "disposal": f.disposal, "transparent": f.transparent, "histogram": histogram(f).ravel().tolist()})
+        start += f.delay_cs
+    return {"width": width, "height": height, "duration_cs": start, "payload": b"".join(f.indices.tobytes() for f in frames), "frames": told, "error": None}
 
 
-def read_media(df: DataFrame, media_col: str = "media", out: str = "frames", composite: bool = False, keep_payload: bool = True) -> DataFrame:
-    """Add a struct column read back from GIF bytes: size, frame count, total delay, payload, and the frames' colour
-    histograms one after another (3 channels of BINS counts each).
+def read_media(df: DataFrame, media_col: str = "media", out: str = "read") -> DataFrame:
+    """Add a struct read from GIF bytes: size, total delay, the samples of all frames, and the frames with their times and
+    the histograms of what they show after disposal and transparency (3 channels of BINS counts each).
 
-    Null bytes give null. Bytes that are no GIF, or a broken one, give a struct with null fields and the reason in
-    error. composite: histograms of the canvas after disposal and transparency instead of each frame's own pixels.
+    Null bytes give null. Bytes that are no GIF, or a broken one, give a struct with null fields and the reason in error.
+    Repeated rows get equal results; a column named out is replaced.
     """
 
-    @F.pandas_udf(FRAME_TYPE)
+    @F.pandas_udf(READ_TYPE)
     def read(blobs: pd.Series) -> pd.DataFrame:
-        rows = [media_row(b, composite, keep_payload) for b in blobs]
-        return pd.DataFrame(rows, columns=["width", "height", "n_frames", "duration_cs", "payload", "histogram", "error"], dtype=object)
+        return pd.DataFrame([media_row(b) for b in blobs], columns=READ, dtype=object)
 
     return df.withColumn(out, F.when(F.col(media_col).isNotNull(), read(F.col(media_col))))
 
 
-def media_row(blob: bytes | None, composite: bool, keep_payload: bool) -> tuple:
-    if blob is None:
-        return (None,) * 7
-    try:
-        width, height, frames = decode(blob, composite)
-    except (ValueError, IndexError, struct.error) as e:
-        return (None, None, None, None, None, None, str(e) or "broken")
-    payload = b"".join(f.indices.tobytes() for f in frames) if keep_payload else None
-    return (width, height, len(frames), sum(f.delay_cs for f in frames), payload, [int(n) for f in frames for n in histogram(f).ravel()], None)
-
-
-DIGEST_TYPE = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, feature string"
+MEDIA_TYPE = READ_TYPE.replace("struct<", "struct<media:binary,", 1)
 
 
-def media_digest(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Store each whole text as a GIF, read the stored bytes back and add digests and features of both forms.
+def media_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Store each whole text as a GIF and read the stored bytes back: adds media (the file), payload (the samples read),
+    frames (timed, with colour histograms) and duration_cs.
 
-    The texts make one trip through a worker: store_payload and decode run on each in turn, so no media bytes cross
-    to the JVM. Null counts as the empty text. Columns that are already named like an added one are replaced.
+    The texts make one trip through a worker. Null counts as the empty text, which is one row of spaces; a text of more
+    than FRAME_ROWS rows has several frames. Equal texts, repeated rows among them, give equal columns; columns so named
+    are replaced, others stay.
     """
 
-    @F.pandas_udf(DIGEST_TYPE)
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([digest_row(t) for t in texts], columns=[c.split()[0] for c in DIGEST_TYPE.split(", ")])
-
-    names = [c.split()[0] for c in DIGEST_TYPE.split(", ")]
-    return df.withColumn("__media", digest(F.col(text_col))).withColumns({n: F.col("__media")[n] for n in names}).drop("__media")
-
+    @F.pandas_udf(MEDIA_TYPE)
+    def both(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            media = store_payload(padded(t)[1])
+            rows.append({"media": media} | media_row(media))
+        return pd.DataFrame(rows, columns=["media", *READ], dtype=object)
 
-def digest_row(text: str | None) -> tuple:
-    n, payload = padded(text)
-    media = store_payload(payload)
-    _, _, frames = decode(media, composite=False)
-    back = b"".join(f.indices.tobytes() for f in frames)
-    hist = sum(histogram(f) for f in frames)
-    feature = ";".join(f"{c}:" + ",".join(map(str, h.tolist())) for c, h in zip("rgb", hist))
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), len(frames), feature
+    names = ["media", "payload", "frames", "duration_cs"]
+    return df.withColumn("__media", both(F.col(text_col))).withColumns({n: F.col("__media")[n] for n in names}).drop("__media")

@@ -19,7 +19,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return gif.media_digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    media = gif.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = lambda c: F.octet_length(c).cast("long")
+    counts = F.transform("frames", lambda f: F.array_join(f["histogram"].cast("array<string>"), ","))
+    return media.select(
+        "doc_id", F.coalesce(size("text"), F.lit(0).cast("long")).alias("n_bytes"), size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.array_join(counts, ";").alias("feature"), "frames",
+    )
 
 
 def op3_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

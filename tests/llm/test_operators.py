@@ -55,15 +55,89 @@ def test_state_maps_compose(texts):
     assert t.scan(maps)[-1] == t.fold(maps)
 
 
-def test_gif_round_trip(docs, empty, spark):
-    for r in gif.media_digest(docs).collect():
-        n, payload = gif.padded(r.text)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest())
-    back = gif.read_media(gif.store_texts(docs)).collect()
-    assert all(bytes(r.frames.payload) == gif.padded(r.text)[1] for r in back)
-    broken = gif.read_media(spark.createDataFrame([(b"GIF89a",), (b"no",), (None,)], "media binary")).collect()
-    assert [r.frames is None or r.frames.error is not None for r in broken] == [True] * 3
-    assert gif.media_digest(empty).count() == 0
+def plain_gif(data):
+    """Another reader, bit by bit: size, and (place, delay, samples) of each frame; whole palettes of their own only."""
+    width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    at, frames, delay = 13, [], 0
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            delay = int.from_bytes(data[at + 4 : at + 6], "little")
+            at += 8
+            continue
+        left, top, w, h = (int.from_bytes(data[at + k : at + k + 2], "little") for k in (1, 3, 5, 7))
+        at += 10 + 3 * (2 << (data[at + 9] & 7))
+        bits, at, stream = data[at], at + 1, b""
+        while data[at]:
+            stream, at = stream + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        value, table, out, width_, before, pos = int.from_bytes(stream, "little"), None, [], bits + 1, None, 0
+        while True:
+            code = value >> pos & (1 << width_) - 1
+            pos += width_
+            if code == 1 << bits:
+                table, width_, before = {i: (i,) for i in range(1 << bits)}, bits + 1, None
+                n = (1 << bits) + 2
+                continue
+            if code == (1 << bits) + 1:
+                break
+            entry = table[code] if code in table else before + before[:1]
+            if before is not None and n < 4096:
+                table[n] = before + entry[:1]
+                n += 1
+                width_ = min(12, max(width_, n.bit_length()))
+            out.extend(entry)
+            before = entry
+        frames.append((left, top, w, h, delay, bytes(out)))
+    return width, height, frames
+
+
+def test_gif_media_of_texts(docs, empty, spark):
+    got = gif.media_columns(docs.withColumn("media", F.lit("clash"))).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        raw = (r.text or "").encode()
+        payload = raw + b" " * ((-len(raw)) % 192 or 192 * (not raw))
+        assert bytes(r.payload) == payload and len(r.frames) == 1 and r.duration_cs == 10
+        width, height, frames = plain_gif(bytes(r.media)) if len(raw) < 3000 else (192, len(payload) // 192, [(0, 0, 192, len(payload) // 192, 10, payload)])
+        assert (width, height) == (192, len(payload) // 192) and frames == [(0, 0, width, height, 10, payload)]
+        levels = [(i >> 5) * 255 // 7 for i in payload], [(i >> 2 & 7) * 255 // 7 for i in payload], [(i & 3) * 255 // 3 for i in payload]
+        assert r.frames[0].histogram == [sum(x * 8 >> 8 == k for x in c) for c in levels for k in range(8)]
+    assert gif.media_columns(empty).count() == 0
+    broken = gif.read_media(spark.createDataFrame([(b"GIF89a",), (b"no",), (None,), (bytes(got[5].media)[:-60],)], "media binary")).collect()
+    assert [r.read is None or r.read.error is not None for r in broken] == [True] * 4
+
+
+def test_op2_digests_from_scratch(docs, spark, tmp_path):
+    import zlib
+
+    from ampline.llm import registry
+
+    docs.drop("n_tokens").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        payload = raw + b" " * ((-len(raw)) % 192 or 192 * (not raw))
+        media = bytes(gif.store_payload(payload))
+        want[r.doc_id, r.text] = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+    rows = registry.op2_gif_media(spark, str(tmp_path)).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
+    seen = [(r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in rows]
+    assert seen and all(s == want[r.doc_id, r.text] for s, r in zip(seen, rows))
+
+
+def test_text_of_two_frames():
+    text = "0123456789abcde\n" * (192 * 65_535 // 16 + 30)
+    payload = gif.padded(text)[1]
+    row = gif.media_row(gif.store_payload(payload))
+    assert row["payload"] == payload and [(f["height"], f["start_cs"]) for f in row["frames"]] == [(65_535, 0), (len(payload) // 192 - 65_535, 10)]
+
+
+@pytest.mark.parametrize("bits", [2, 5, 8])
+def test_code_streams_of_every_length(bits):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 2, 254, 255, 256, 3836, 3837, 3838, 9000, 60_000):
+        for kinds in (1, 2, 1 << bits):
+            a = rng.integers(0, kinds, n).astype(np.uint8)
+            assert (gif.lzw_decode(np.frombuffer(gif.lzw_encode(a, bits), np.uint8), bits, n) == a).all()
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8])
@@ -72,7 +146,7 @@ def test_gif_frames(bits):
     a = rng.integers(0, 1 << bits, (40, 33)).astype(np.uint8)
     palette = rng.integers(0, 256, (1 << bits, 3)).astype(np.uint8)
     frames = [gif.Frame(a, palette, 0, 0, 5, 1), gif.Frame(a[:9, :8].copy(), palette, 4, 3, 7, 3, transparent=0), gif.Frame(a[:2, :2].copy(), palette, 0, 0, 1, 2)]
-    _, _, got = gif.decode(gif.encode(frames, 33, 40, compress=True))
+    _, _, got = gif.decode(gif.encode(frames, 33, 40))
     assert all((g.indices == f.indices).all() and g.delay_cs == f.delay_cs for g, f in zip(got, frames))
     shown = palette[a].copy()
     assert (got[0].image[..., :3] == shown).all()
