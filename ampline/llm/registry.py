@@ -61,7 +61,19 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.curriculum(table(spark, sf_dir, "documents"), ["doc_id"])
+    plan = curriculum.curriculum(table(spark, sf_dir, "documents"), ["doc_id"])
+    first = F.round(F.get("positions", F.lit(0)), 9) + F.lit(0.0)
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", first.alias("first_position"))
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8_licenses: the places of the base phrases."""
+    return op8_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op2_gif_media: the payload that is read back."""
+    return op2_gif_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +86,7 @@ def secret_key(spark: SparkSession) -> str:
     return spark.conf.get("ampline.pii.key", "trial")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_media, op3_long_repeats, op4_decontamination, op5_simhash, op6_quality, op7_surrogates, op8_licenses, op9_curriculum, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_media, op3_long_repeats, op4_decontamination, op5_simhash, op6_quality, op7_surrogates, op8_licenses, op9_curriculum, op10_main_text, license_base_places, media_payloads)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -94,4 +106,30 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
        cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
 from d left join n on d.r = n.r left join it on d.r = it.r""",
+    "license_base_places": rf"""
+with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+ph as (select * from (values (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) p(phrase, label)),
+h as (select r, label, i - 1 as i from (select r, w, phrase, label, unnest(range(1, len(w) - len(phrase) + 2)) as i from d, ph) where w[i:i + len(phrase) - 1] = phrase),
+g as (select r, count(*) as n, min(i) as a, max(i) as b, string_agg(distinct label, ',' order by label) as labels from h group by r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_base, cast(a as bigint) as first_word, cast(b as bigint) as last_word, coalesce(labels, '') as base_labels
+from d left join g on d.r = g.r""",
+    "media_payloads": """
+with d as (select doc_id, coalesce(text, '') as t, strlen(coalesce(text, '')) as n from documents), p as (select *, cast(greatest(192, ceil(n / 192.0) * 192) as bigint) as k from d)
+select doc_id, cast(n as bigint) as n_bytes, k as payload_bytes, sha256(t || repeat(' ', k - n)) as payload_sha256 from p""",
+    "op9_curriculum": r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+                  cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ' ' || coalesce(text, '')), 1, 15) as bigint) as o from documents),
+s as (select source, cast(sum(size) as bigint) as ss, row_number() over (order by source is null, source) - 1 as turn from d group by source),
+w as (select *, [5.0::double, 2.0::double, 1.0::double][cast(turn % 3 + 1 as int)] as wt, [-0.5::double, 0.0::double, 0.5::double][cast(turn % 3 + 1 as int)] as slope, ss * 2.0::double as cap from s),
+f as (select *, (sum(ss) over () * 1.5::double - coalesce(sum(cap) over q, 0)) / (sum(wt) over () - coalesce(sum(wt) over q, 0)) as level
+      from w window q as (order by cap / wt, source is null, source rows between unbounded preceding and 1 preceding)),
+o as (select min_by(level, turn) as level from (select level, row_number() over (order by cap / wt, source is null, source) as turn from f where not cap <= level * wt)),
+t as (select f.source, ss, slope, case when cap <= f.level * wt or o.level is null then cap else least(cap, o.level * wt) end as target from f, o),
+p as (select d.doc_id, d.size, t.*, coalesce(sum(size) over (partition by d.source order by d.o range between unbounded preceding and 1 preceding), 0) as b from d join t on d.source is not distinct from t.source),
+c as (select *, floor(case when ss = 0 then 0 else target / ss end + 1e-12) as k from p),
+n as (select *, least(k + case when b + size / 2.0 <= target - k * ss and size > 0 then 1 else 0 end, 2) as copies from c),
+u as (select *, least(1.0, case when target = 0 then 0.0 else b / target end) as part, 1 - slope as e from n)
+select doc_id, size, ss as source_size, round(target, 6) as target, cast(copies * size as bigint) as taken,
+       case when copies > 0 then round(greatest(0.0, least(1.0, case when slope = 0 then part else (sqrt(greatest(e * e + 4 * slope * part, 0.0)) - e) / (2 * slope) end)), 9) + 0.0 end as first_position
+from u""",
 }

@@ -229,6 +229,46 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_fingerprints_from_scratch(docs):
+    import xxhash
+
+    for r in simhash.near_duplicates(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOW))
+        grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        assert r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_crowded_cells(block):
+    """Links in cells of any size join the same classes as all pairs do."""
+    rng = random.Random(block)
+    seeds = [rng.getrandbits(64) for _ in range(6)]
+    fps = np.unique(np.array([s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))) for s in seeds for _ in range(30)], np.uint64)).view(np.int64)
+    a, b = simhash.cell_links(fps, 4, block)
+    links = simhash._links(fps, np.array([0, 5, len(fps)]), 4)
+
+    def classes(pairs, nodes):
+        root = {n: n for n in nodes}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            root[find(x)] = find(y)
+        groups = collections.defaultdict(set)
+        for n in nodes:
+            groups[find(n)].add(n)
+        return sorted(map(sorted, groups.values()))
+
+    nodes = fps.tolist()
+    near = lambda part: [(x, y) for x in part for y in part if x < y and ((x ^ y) & (1 << 64) - 1).bit_count() <= 4]
+    assert classes(zip(a.tolist(), b.tolist()), nodes) == classes(near(nodes), nodes)
+    assert classes(zip(links["a"].tolist(), links["b"].tolist()), nodes) == classes(near(nodes[:5]) + near(nodes[5:]), nodes)
+
+
 def test_grid_join_loses_no_link():
     rng = random.Random(1)
     fps = [rng.getrandbits(64) for _ in range(200)]
@@ -347,6 +387,29 @@ def test_curriculum(docs, empty):
         full |= more
     for r in got:
         assert r.target == pytest.approx(2 * size[r.source] if r.source in full else level * weight[r.source])
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    for r in got:
+        own = [x["size"] for x in got if x.source == r.source]
+        assert abs(taken[r.source] - r.target) <= max(own) / 2 + 1e-6  # by half a document at most
+    # places and times once more, by a plain walk through each source's order
+    key = lambda r: int(hashlib.md5(f"{'' if r.doc_id is None else r.doc_id} {r.text or ''}".encode()).hexdigest()[:15], 16)
+    rows = docs.collect()
+    want = collections.defaultdict(list)
+    target = {r.source: r.target for r in got}
+    for s, name in enumerate(names):
+        slope = (-0.5, 0.0, 0.5)[s % 3]
+        order = sorted((key(r), len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.doc_id) for r in rows if r.source == name)
+        k = int(target[name] / size[name] + 1e-12)
+        for place, n, doc in order:
+            begin = sum(m for p, m, _ in order if p < place)
+            copies = min(2, k + (begin + n / 2 <= target[name] - k * size[name] and n > 0))
+            parts = [min(1.0, (begin + i * size[name]) / target[name]) for i in range(copies)]
+            want[doc, name].append([x if slope == 0 else ((((1 - slope) ** 2 + 4 * slope * x) ** 0.5) - 1 + slope) / (2 * slope) for x in parts])
+    for r in got:
+        assert any(r.positions == pytest.approx(w) for w in want[r.doc_id, r.source])
+    assert [r.doc_id for r in curriculum.curriculum(docs.withColumn("size", F.lit("clash")), ["doc_id", "size"]).collect()] is not None
     assert curriculum.curriculum(empty, ["doc_id"]).count() == 0
     ordered = [r.position for r in curriculum.training_order(curriculum.curriculum(docs, ["doc_id"]), 1).collect()]
     assert ordered == sorted(ordered)
