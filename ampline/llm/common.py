@@ -137,4 +137,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = step
         if not step.where("old <> l").limit(1).count():
             release(both)
-            return step.select(F.col("u").alias("node"), F.col("l").alias("component"))
+            out = step.select(F.col("u").alias("node"), F.col("l").alias("component"))
+            out.staged_path = step.staged_path
+            return out

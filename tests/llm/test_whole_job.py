@@ -22,8 +22,8 @@ def near_texts(rng, n):
     return " ".join(base), changed
 
 
-@pytest.mark.parametrize("dense", [8, 0])
-def test_similar_groups_lose_no_pair(spark, dense):
+@pytest.mark.parametrize("small", [8, 1])
+def test_similar_groups_lose_no_pair(spark, small):
     rng = random.Random(5)
     texts = [None, "", " \t", "one two", "One  TWO", "one two three"]
     for n in (6, 9, 30, 60, 150, 400):
@@ -36,7 +36,7 @@ def test_similar_groups_lose_no_pair(spark, dense):
         for i, a in enumerate(sets):
             root[i] = min(root[j] for j, b in enumerate(sets) if a == b or 5 * len(a & b) >= 4 * len(a | b))
     df = spark.createDataFrame(list(enumerate(texts)), "r long, text string").repartition(3)
-    got = {x.row: x.component for x in jaccard.similar_groups(df, "r", dense=dense).collect()}
+    got = {x.row: x.component for x in jaccard.similar_groups(df, "r", small=small).collect()}
     assert [got[i] for i in range(len(texts))] == root
     assert jaccard.similar_groups(df.limit(0), "r").count() == 0
 
