@@ -58,7 +58,8 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def add_fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Add a bigint column with each whole text's fingerprint (null: zero). A column named out is replaced."""
+    """Add a bigint column with each whole text's fingerprint (null: zero). A column named out is replaced; repeated rows
+    get equal fingerprints; a text of any length is read whole."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf("long")
@@ -149,7 +150,7 @@ def _link_rows(distance: int):
 
 def _links(fps: np.ndarray, bounds: np.ndarray, distance: int) -> pd.DataFrame:
     """Links within each run of rows between bounds. Rows side by side, two apart and so on are compared by array
-    arithmetic up to runs of 8; longer runs by blocks."""
+    arithmetic up to runs of 8, so all their links are told, 28 at most; longer runs by blocks, a link for each merge."""
     sizes = np.diff(bounds)
     a, b = [], []
     run = np.repeat(np.arange(len(sizes)), sizes)
@@ -173,7 +174,10 @@ def _links(fps: np.ndarray, bounds: np.ndarray, distance: int) -> pd.DataFrame:
 
 
 def near_links(distinct: DataFrame, col: str = "fp", distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) of distinct fingerprints: enough of those within the distance (at most 4) to join all their classes."""
+    """Links (a, b) of distinct fingerprints: enough of those within the distance (at most 4) to join all their classes.
+
+    Fingerprints that repeat in the table are compared like one; nulls must not be there; an empty table has no links.
+    """
     if not 0 <= distance <= 4:
         raise ValueError("distance must be 0 to 4")
     small_batches(distinct.sparkSession, rows=1 << 15)

@@ -24,9 +24,10 @@ CHUNK = 1 << 16
 #: Bounds of a worker's caches: whole runs, and compiled transitions.
 MAX_RUNS, MAX_ARCS = 600_000, 600_000
 
-# The file's special tokens, its split pattern, and the white space of Unicode.
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The settings of a vocabulary file that can be compiled, and the white space of Unicode.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
 
@@ -38,6 +39,25 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def settings(spec: dict) -> tuple[list[str], str]:
+    """Special tokens and split pattern of a vocabulary file; what can't be compiled is refused."""
+
+    def must(ok: bool, what: str) -> None:
+        if not ok:
+            raise ValueError(f"this vocabulary can't be compiled: {what}")
+
+    model, pre = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    for k, v in MODEL.items():
+        must((model.get(k) or None) == (v or None), f"model {k} is {model.get(k)!r}")
+    must((spec.get("normalizer") or {}).get("normalizers") == NORMALIZER, "its normalizer")
+    split = pre[0]
+    must(len(pre) == 2 and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and "Regex" in split.get("pattern", {}), "its splitting")
+    must({k: pre[-1].get(k) for k in BYTES} == BYTES, "its byte level")
+    added = spec.get("added_tokens") or []
+    must(not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")), "its added tokens")
+    return [t["content"] for t in added], split["pattern"]["Regex"]
+
+
 class ChunkMap(NamedTuple):
     """State map of a chunk. sync: it holds white space; head and tail: the unfinished runs at its ends."""
 
@@ -52,7 +72,9 @@ class Transducer:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        special, pattern = settings(spec)
+        model = spec["model"]
         self.vocab = model["vocab"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
@@ -62,10 +84,12 @@ class Transducer:
         bodies = (v.removesuffix(END) for v in self.vocab)
         self.begun = {""}.union(b[:i] for b in bodies for i in range(1, len(b)))  # what can go on to a token
         self.bytes = byte_symbols()
-        self.split = regex.compile(SPLIT.replace(r"\s", SPACE))
+        self.split = regex.compile(pattern.replace(r"\s", SPACE))
         self.odd = regex.compile("[\x1c-\x1f]")
         self.space = regex.compile(f"[{SPACE}]+")
-        self.special = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
+        # the longest first, where one begins another
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.marks = [t[:2] for t in special]
         self.own: dict[str, bool] = {}
         self.reset()
         self.runs = _Runs(self)
@@ -155,7 +179,7 @@ class Transducer:
 
     def run(self, text: str) -> int:
         """Tokens of a run without white space, which may hold special tokens."""
-        if "<|" in text and len(parts := self.special.split(text)) > 1:
+        if self.special and any(m in text for m in self.marks) and len(parts := self.special.split(text)) > 1:
             return sum(1 if i % 2 else self.plain(p) for i, p in enumerate(parts))
         return self.plain(text)
 
@@ -234,7 +258,8 @@ def transducer(path: str) -> Transducer:
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", out: str = "n_tokens", chunk: int = CHUNK) -> DataFrame:
     """Add a column with the number of tokens of each whole text under a word-level BPE vocabulary file.
 
-    path must be readable on every executor (a file of an installed package). Null and empty texts have 0 tokens;
+    path must be readable on every executor (a file of an installed package). Files with another normalizer, splitting or
+    model than those that are compiled here raise an error. Null and empty texts have 0 tokens;
     special strings inside a text count as one token each; repeated rows are counted alike. A column that is already
     named out is replaced; other columns pass through. No shuffle; memory is bounded by one Arrow batch and the caches.
     """

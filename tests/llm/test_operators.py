@@ -48,6 +48,11 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="can't be compiled"):
+        token_counts.Transducer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_state_maps_compose(texts):
     t = token_counts.transducer(public_tokenizers.path("word_bpe_49k.json"))
     whole = texts[5] * 3
