@@ -72,17 +72,15 @@ def lzw_encode(pixels: np.ndarray, bits: int = 8) -> bytes:
     data, schedule = pixels.tobytes(), code_widths(bits)
     table: dict[int, int] = {}
     codes: list[int] = []
-    get, put = table.get, codes.append
+    place, put = table.setdefault, codes.append
     nxt = clear + 2
     prefix = data[0] if data else -1
     for p in data[1:]:
-        key = prefix << 8 | p
-        code = get(key)
-        if code is not None:
+        code = place(prefix << 8 | p, nxt)
+        if code != nxt:
             prefix = code
             continue
         put(prefix)
-        table[key] = nxt
         nxt += 1
         prefix = p
         if nxt == 4095:
@@ -130,19 +128,20 @@ def lzw_decode(data: np.ndarray, bits: int, n: int) -> np.ndarray:
             prev = table[todo[0]]
             put(prev)
             del todo[0]
-        known, grow = len(table), table.append
-        for code in todo:
-            if code < known:
+        room, grow = 4096 - len(table), table.append
+        for code in todo[:room]:
+            try:
                 entry = table[code]
-            elif code == known < 4096:
+            except IndexError:
+                if code != len(table):
+                    raise ValueError("the code stream uses an undefined code") from None
                 entry = prev + prev[:1]
-            else:
-                raise ValueError("the code stream uses an undefined code")
-            if known < 4096:
-                grow(prev + entry[:1])
-                known += 1
+            grow(prev + entry[:1])
             put(entry)
             prev = entry
+        for code in todo[room:]:
+            prev = table[code]
+            put(prev)
         pieces.append(b"".join(out))
         size += len(pieces[-1])
         out.clear()
@@ -237,17 +236,22 @@ def decode(data: bytes, composite: bool = True) -> tuple[int, int, list[Frame]]:
             pixels = plain
         f = Frame(pixels, palette, left, top, *control)
         if composite:
-            before = canvas.copy() if f.disposal == 3 else None
-            area = canvas[top : top + h, left : left + w]
-            shown = pixels[: area.shape[0], : area.shape[1]]
+            before = canvas
             full = np.concatenate([palette, np.full((len(palette), 1), 255, np.uint8)], 1)
-            solid = np.ones(shown.shape, bool) if f.transparent is None else shown != f.transparent
-            area[solid] = full[np.minimum(shown, len(palette) - 1)][solid]
-            f.image = canvas.copy()
+            if f.transparent is None and (left, top, h, w) == (0, 0, height, width):
+                canvas = full[np.minimum(pixels, len(palette) - 1)]
+            else:
+                canvas = canvas.copy()
+                area = canvas[top : top + h, left : left + w]
+                shown = pixels[: area.shape[0], : area.shape[1]]
+                solid = np.ones(shown.shape, bool) if f.transparent is None else shown != f.transparent
+                area[solid] = full[np.minimum(shown, len(palette) - 1)][solid]
+            f.image = canvas  # later frames change copies of it
             if f.disposal == 2:
-                area[:] = 0
+                canvas = canvas.copy()
+                canvas[top : top + h, left : left + w] = 0
             elif f.disposal == 3:
-                canvas[:] = before
+                canvas = before
         frames.append(f)
         control = (0, 0, None)
     return width, height, frames
@@ -255,7 +259,7 @@ def decode(data: bytes, composite: bool = True) -> tuple[int, int, list[Frame]]:
 
 def histogram(frame: Frame, bins: int = BINS) -> np.ndarray:
     """Counts of each channel's levels in bins, (3, bins): of the composited image where there is one, else of the frame."""
-    if frame.image is not None:
+    if frame.image is not None and (frame.transparent is not None or frame.left or frame.top or frame.image.shape[:2] != frame.indices.shape):
         seen = frame.image[frame.image[..., 3] > 0]
         return np.stack([np.bincount(seen[:, c].astype(np.intp) * bins >> 8, minlength=bins) for c in range(3)])
     counts = np.bincount(frame.indices.ravel(), minlength=256)[: len(frame.palette)].copy()
