@@ -181,6 +181,30 @@ def test_long_repeats(docs, empty, options):
     assert dedup_runs.remove_long_repeats(empty).count() == 0
 
 
+def test_one_anchor_in_thousands_of_spans(spark):
+    """A line that 5,000 texts share, each with other words around it, and some with a few of the same bytes beside it."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    line, sides = say(150), [(say(30), say(30)) for _ in range(3)]
+    texts = []
+    for i in range(5000):
+        left, right = sides[i % 3] if i % 50 == 0 else (say(30), say(30))
+        cut = rng.randrange(31) if i % 100 == 0 else 0
+        texts.append(say(10) + say(cut) + left[cut:] + line + right + say(rng.randrange(10)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    raws = [t.encode() for t in texts]
+    count = collections.Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    want = []
+    for d, r in enumerate(raws):
+        gone = bytearray(len(r))
+        for i in range(len(r) - 199):
+            if count[r[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        want.append((d, sum(gone), hashlib.sha256(bytes(b for b, g in zip(r, gone) if not g)).hexdigest()))
+    assert sum(n > 0 for _, n, _ in want) > 50
+    assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in dedup_runs.remove_long_repeats(df).collect()) == want
+
+
 def test_contamination(spark, docs, empty, texts):
     bench = spark.createDataFrame([(1, texts[4]), (20, "x1 the of"), (3, None), (4, ""), (5, " ".join((texts[6] or "").split()[:20]))], "item_id long, text string")
     windows = collections.defaultdict(set)
