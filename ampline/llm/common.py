@@ -70,7 +70,8 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def delete_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that stage() has written, by path."""
     jvm = spark._jvm
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
@@ -82,14 +83,14 @@ def release(*tables: DataFrame) -> None:
     """Delete tables that stage() has written, once nothing will read them again."""
     for t in tables:
         if t.staged_path in STAGED:
-            _delete(t.sparkSession, [t.staged_path])
+            delete_staged(t.sparkSession, [t.staged_path])
 
 
 def clear_stages(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
     """Delete the tables that stage() has written since it had written so many, but for `keep`; results that still need
     one of the others fail afterwards."""
     kept = {t.staged_path for t in keep}
-    _delete(spark, [p for p in STAGED[since:] if p not in kept])
+    delete_staged(spark, [p for p in STAGED[since:] if p not in kept])
 
 
 HELD: list[Broadcast] = []
