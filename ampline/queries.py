@@ -72,12 +72,17 @@ def daily_features(s, d):
     return T.rolling_features(lagged, ["site"], "ts", "total", [(7, "7"), (28, "28")])
 
 
-def forecast(s, d):
-    """Naive forecast of the hourly panel: the value a day before."""
+def make_forecast(s, d):
+    """Naive forecast of the hourly panel: the value a day before; with errors and outlier flags."""
     lagged = T.lag_features(dense(s, d), ["site"], "ts", "total", [(24, "24")])
     f = lagged.where("total is not null and lag_24 is not null").select("site", "ts", F.col("total").alias("actual"), F.col("lag_24").alias("prediction"))
-    f = materialize(S.error_columns(f))  # written once, as the reports' table
-    return P.mark_outliers(f, "site", "actual", exact=True).select("site", "ts", "actual", "prediction", "error", "absolute_error", "squared_error", "absolute_percentage_error", "is_outlier")
+    f = P.mark_outliers(S.error_columns(f), "site", "actual", exact=True)
+    return f.select("site", "ts", "actual", "prediction", "error", "absolute_error", "squared_error", "absolute_percentage_error", "is_outlier")
+
+
+def forecast(s, d):
+    """The forecast table that all reports read: written once in a session."""
+    return io.written_once(s, "forecast", f"{d}/events.parquet", lambda: make_forecast(s, d))
 
 
 def exogenous(s, d):

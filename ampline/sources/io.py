@@ -59,6 +59,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written_once(spark: SparkSession, name: str, source: str, make) -> DataFrame:
+    """The table `name` of a source file: made and written at its first use in a session, read from then on; made anew
+    where the source has changed since."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, name, source, changed)
+    if key not in _WRITTEN:
+        where = scratch_dir(spark)
+        make().write.parquet(where)
+        _WRITTEN[key] = where
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def show(df: DataFrame, rows: int = 20):
     """Print a batch's first rows; start a console query for a stream and return it."""
     if df.isStreaming:

@@ -20,11 +20,12 @@ BATCH, CHUNK = 500, 10_000
 
 def line(measurement: str, tags: list[str], fields: list[str], time: str) -> Column:
     """A point: measurement,tag=... field=... nanoseconds. Null tags and fields are left out; commas, blanks and equals
-    signs in tags are escaped; whole numbers get the suffix i."""
+    signs in tags are escaped; whole numbers get the suffix i; times without zone are UTC."""
     escape = lambda c: F.regexp_replace(c.cast("string"), "([,= ])", r"\\$1")
     head = F.concat_ws(",", F.lit(measurement), *[F.concat(F.lit(f"{t}="), escape(F.col(t))) for t in tags])
     body = F.concat_ws(",", *[F.concat(F.lit(f"{f}="), F.col(f).cast("string"), F.when(F.typeof(F.col(f)).isin("bigint", "int"), "i").otherwise("")) for f in fields])
-    at = F.unix_micros(F.col(time).cast("timestamp")) * F.lit(1000)
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(time).cast("timestamp_ntz"))
+    at = F.unix_micros(local.cast("timestamp")) * F.lit(1000)
     return F.concat_ws(" ", head, body, at.cast("string"))
 
 

@@ -158,7 +158,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("trend")) == key(batch)
 
 
-SCANS = {"impute_median": 3, "rolling_features": 2, "mark_outliers": 2, "kpi": 2}
+def test_reports_read_a_table_that_is_written_once(spark, tmp_path):
+    source, made = str(tmp_path / "a.parquet"), []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source)
+
+    spark.range(3).write.parquet(source)
+    first = [io.written_once(spark, "t", source, make).count() for _ in range(2)]
+    os.utime(source, (1, 1))
+    spark.range(5).write.mode("append").parquet(source)
+    assert (first, io.written_once(spark, "t", source, make).count(), len(made)) == ([3, 3], 8, 2)
+
+
+SCANS = {"impute_median": 3, "rolling_features": 2, "mark_outliers": 2, "kpi": 1}
 
 
 @pytest.mark.parametrize("name", SCANS)
