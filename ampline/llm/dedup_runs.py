@@ -177,13 +177,13 @@ class RunIndex:
 
     @staticmethod
     def _ranks(text: np.ndarray) -> list[np.ndarray]:
-        """Ranks of suffixes by their first 6, 12, 24, ... symbols (of 9 bits), until all differ."""
+        """Ranks of suffixes by their first 7, 14, 28, ... symbols (of 9 bits), until all differ."""
         n = len(text)
-        padded = np.concatenate([text.astype(np.int64), np.zeros(6, np.int64)])
+        padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
         key = np.zeros(n, np.int64)
-        for j in range(6):
+        for j in range(7):
             key = key << 9 | padded[j : j + n]
-        ranks, step = [], 6
+        ranks, step = [], 7
         while True:
             order = np.argsort(key)
             sorted_key = key[order]
@@ -205,13 +205,13 @@ class RunIndex:
         n, a, b = len(ranks[0]), a.copy(), b.copy()
         total = np.zeros(len(a), np.int64)
         for level in range(len(ranks) - 1, -1, -1):
-            step = 6 << level
+            step = 7 << level
             inside = (a < n) & (b < n)
             same = inside & (ranks[level][np.minimum(a, n - 1)] == ranks[level][np.minimum(b, n - 1)])
             total[same] += step
             a[same] += step
             b[same] += step
-        for _ in range(5):
+        for _ in range(6):
             same = (a < n) & (b < n) & (text[np.minimum(a, n - 1)] == text[np.minimum(b, n - 1)])
             total[same] += 1
             a[same] += 1
