@@ -2,8 +2,8 @@
 
 Every 200-byte window of a text holds an anchor: the least hash among its k-grams. Equal windows have equal anchors at
 equal places, so only windows whose anchor occurs elsewhere can repeat. The windows of one anchor form a span of at
-most 2 * length - k bytes. The spans of repeated anchors are gathered by anchor, one copy of each kind (two where it
-occurs more than once, which is all that a repeat needs), into batches; over a batch's concatenation a Burrows-Wheeler
+most 2 * length - k bytes. An anchor whose spans are all equal is decided by their number. All other spans of repeated
+anchors are gathered by anchor, one copy of each kind (two where it occurs more than once), into batches; over a batch's concatenation a Burrows-Wheeler
 transform is built and kept as runs with the suffix positions at the run ends. Match lengths with both neighbours in
 suffix order stream from those samples: along the text a length falls by one until the next run end. Windows whose match
 is at least the wanted length are marked.
@@ -351,10 +351,11 @@ def long_repeats(df: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     whole = ["rid", start.alias("start"), (start + size).alias("end")]
     anchors = stage(docs.mapInPandas(_anchor_rows(length, gram), "anchor long, span long, rid long, place long"))
     # written before it is joined, so that the join sees both its sides' sizes and can split a frequent anchor
-    shared = stage(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    shared = stage(anchors.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("span") != F.max("span")).alias("mixed")).where("c > 1").drop("c"))
     again = stage(anchors.join(shared, "anchor"))
     release(anchors, shared)
-    kinds = stage(again.groupBy("anchor", F.col("span").alias("kind")).agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("rid", "place")).alias("one")))
+    mixed = again.where("mixed").drop("mixed")
+    kinds = stage(mixed.groupBy("anchor", F.col("span").alias("kind")).agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("rid", "place")).alias("one")))
     sizes = stage(kinds.groupBy("anchor").agg(F.count("*").alias("m")))
     ones = kinds.join(sizes, "anchor").select("anchor", "kind", "n", "m", "one.rid", "one.place")
     parts = stage(ones.join(docs, "rid").select("anchor", "kind", "n", "m", "rid", start.alias("start"), F.lit(0).alias("before"), F.substring("raw", start.cast("int") + 1, size.cast("int")).alias("raw")))
@@ -366,8 +367,8 @@ def long_repeats(df: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     found = indexed(parts.where(F.col("m") <= group).select("anchor", "kind", "n", "rid", "start", "raw"))
     # what occurs more than once repeats in all its places: as the index says, or by its number in groups that are split
     repeated = found.where("n > 1").unionByName(parts.where((F.col("m") > group) & (F.col("n") > 1)).select("anchor", "kind", "n", "rid", "start", F.lit(0).alias("end")))
-    copied = stage(again.withColumnRenamed("span", "kind").join(stage(repeated.select("anchor", "kind").distinct()), ["anchor", "kind"]).select(*whole))
-    marks = [copied, found.where("n = 1").select("rid", "start", "end")]
+    copied = stage(mixed.withColumnRenamed("span", "kind").join(stage(repeated.select("anchor", "kind").distinct()), ["anchor", "kind"]).select(*whole))
+    marks = [again.where("not mixed").select(*whole), copied, found.where("n = 1").select("rid", "start", "end")]
     hot, first = stage(parts.where(F.col("m") > group).select("anchor", "kind", "n", "rid", "start", "before", "raw")), True
     release(kinds, parts)
     for width in _widths(length - gram + 1):
