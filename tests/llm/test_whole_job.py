@@ -41,6 +41,39 @@ def test_similar_groups_lose_no_pair(spark, small):
     assert jaccard.similar_groups(df.limit(0), "r").count() == 0
 
 
+def test_rows_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Texts of which half of the pairs are just not similar make links in proportion to their number, and no link is lost."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(160):
+        t = list(base)
+        for k in rng.sample(range(40), 2 + i % 2):  # a change at every fifth word is one of five shingles
+            t[5 * k] = f"new{i}x{k}"
+        texts.append(" ".join(t))
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    assert len(near) > 10 * len(texts)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    made, write = [], jaccard.stage
+
+    def stage(df):
+        out = write(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    monkeypatch.setattr(jaccard, "HELD", 5_000)  # most sets are read from the file
+    df = spark.createDataFrame(list(enumerate(texts)), "r long, text string").repartition(3)
+    got = {x.row: x.component for x in jaccard.similar_groups(df, "r").collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    assert max(made) <= 8 * len(texts), made
+
+
 def test_pipeline_drops_similar_texts(spark):
     base, changed = near_texts(random.Random(7), 200)
     other, _ = near_texts(random.Random(8), 200)
