@@ -4,7 +4,7 @@ A 64-bit fingerprint maps to the vector of bit counts of its 32 two-bit segments
 vectors is at most the Hamming distance of the fingerprints. Over the two halves of the vector a distance of at most 4
 leaves at most 2 in one half, and integer vectors that are 2 apart have a grid point within 1 of both: each
 fingerprint is placed in the grid cells within `reach` of its half vectors, and fingerprints that meet in a cell are
-verified exactly.
+verified exactly. Likewise a distance of at most 8 leaves at most 2 in one of three parts of the vector.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampline.llm.common import UPPER, components, cut, small_batches
+from ampline.llm.common import UPPER, components, cut, release, small_batches, stage
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 #: Fingerprints of a cell compared with each other at once; a larger cell is worked off in blocks of this size.
 BLOCK = 2048
+#: Pairs of a block after which those of one class by now are left out.
+PAIRS = 1 << 12
 
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: ASCII white space, as bytes.split() takes it: blank and 9 to 13.
@@ -75,17 +77,18 @@ def embed(fps: np.ndarray) -> np.ndarray:
     return (fps & m) + (fps >> np.uint64(1) & m)
 
 
-def half_cells(fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and cells: for each half vector all grid points within `reach` (0 or 1)."""
+def half_cells(fps: np.ndarray, reach: int, parts: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and cells: for each half vector (or other part) all grid points within `reach` (0 or 1)."""
     packed = embed(fps)
     rows, cells = [], []
     everyone = np.arange(len(fps))
-    for half in (0, 1):
-        own = packed >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)
-        tag = np.uint64(half << 32)
+    bounds = [-(-32 * part // parts) for part in range(parts + 1)]  # segments
+    for part, (begin, end) in enumerate(zip(bounds, bounds[1:])):
+        own = packed >> np.uint64(2 * begin) & np.uint64((1 << 2 * (end - begin)) - 1)
+        tag = np.uint64(part << 32)
         rows.append(everyone)
         cells.append(own | tag)
-        for s in range(16) if reach else ():
+        for s in range(end - begin) if reach else ():
             level = own >> np.uint64(2 * s) & np.uint64(3)
             one = np.uint64(1 << (2 * s))
             for at, moved in ((level < 2, own + one), (level > 0, own - one)):
@@ -94,11 +97,11 @@ def half_cells(fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cells)
 
 
-def _cell_rows(reach: int):
+def _cell_rows(reach: int, parts: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = pdf["fp"].to_numpy()
-            row, cell = half_cells(fps.view(np.uint64), reach)
+            row, cell = half_cells(fps.view(np.uint64), reach, parts)
             yield pd.DataFrame({"cell": cell.view(np.int64), "fp": fps[row]})
 
     return rows
@@ -122,12 +125,17 @@ def cell_links(fps: np.ndarray, distance: int, block: int = BLOCK) -> tuple[np.n
         for j in range(i, n, block):
             near = np.bitwise_count(u[i : i + block, None] ^ u[None, j : j + block]) <= distance
             a, b = np.nonzero(np.triu(near, 1) if i == j else near)
-            for x, y in zip((a + i).tolist(), (b + j).tolist()):
-                p, q = find(x), find(y)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    left.append(x)
-                    right.append(y)
+            for k in range(0, len(a), PAIRS):
+                s, t = a[k : k + PAIRS] + i, b[k : k + PAIRS] + j
+                while (root != root[root]).any():
+                    root = root[root]
+                new = root[s] != root[t]
+                for x, y in zip(s[new].tolist(), t[new].tolist()):
+                    p, q = find(x), find(y)
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        left.append(x)
+                        right.append(y)
     return fps[left], fps[right]
 
 
@@ -174,18 +182,33 @@ def _links(fps: np.ndarray, bounds: np.ndarray, distance: int) -> pd.DataFrame:
 
 
 def near_links(distinct: DataFrame, col: str = "fp", distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) of distinct fingerprints: enough of those within the distance (at most 4) to join all their classes.
+    """Links (a, b) of distinct fingerprints: enough of those within the distance (at most 8) to join all their classes.
 
     Fingerprints that repeat in the table are compared like one; nulls must not be there; an empty table has no links.
     """
-    if not 0 <= distance <= 4:
-        raise ValueError("distance must be 0 to 4")
+    if not 0 <= distance <= 8:
+        raise ValueError("distance must be 0 to 8")
     small_batches(distinct.sparkSession, rows=1 << 15)
-    cells = distinct.select(F.col(col).alias("fp")).mapInPandas(_cell_rows(1 if distance > 1 else 0), "cell long, fp long")
+    cells = distinct.select(F.col(col).alias("fp")).mapInPandas(_cell_rows(1 if distance > 1 else 0, 2 if distance <= 5 else 3), "cell long, fp long")
     met = cells.repartition("cell").sortWithinPartitions("cell")
     return met.mapInPandas(_link_rows(distance), "a long, b long").distinct()
 
 
+def near_rows(df: DataFrame, key_col: str, text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b), a < b, of rows whose fingerprints are equal or within the distance: enough to join all their classes.
+
+    key_col is bigint and unique. Equal fingerprints are one node, named by the least key. Written in the shared folder.
+    """
+    prints = stage(add_fingerprints(df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")), "text", "fp", size).select("key", "fp"))
+    nodes = stage(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    equal = prints.join(nodes, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    near = near_links(nodes, "fp", distance)
+    named = near.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    links = stage(equal.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    release(prints, nodes)
+    return links
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component_id) of each row: rows whose fingerprints link, directly or through others, share the least key.
 

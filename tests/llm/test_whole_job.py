@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from ampline.llm import jaccard, surrogates
+from ampline.llm import jaccard, simhash, surrogates
 
 
 def near_texts(rng, n):
@@ -74,6 +74,41 @@ def test_rows_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert max(made) <= 8 * len(texts), made
 
 
+@pytest.mark.parametrize("distance", [4, 5, 6, 8])
+def test_fingerprint_links_join_all_rows_in_reach(spark, distance):
+    rng = random.Random(distance)
+    texts = [None, "", "one", "ONE"]
+    for n in (12, 40, 120, 300):
+        base, changed = near_texts(rng, n)
+        texts += [base, base.upper(), *[changed(k % 4 + 1) for k in range(25)]]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    root, want = list(range(len(texts))), list(range(len(texts)))
+    got = simhash.near_rows(spark.createDataFrame(list(enumerate(texts)), "r long, text string").repartition(3), "r", size=5, distance=distance).collect()
+    assert all(x.a < x.b for x in got)
+    for _ in texts:
+        for i, f in enumerate(prints):
+            want[i] = min(want[j] for j, g in enumerate(prints) if (f ^ g).bit_count() <= distance)
+        for x in got:
+            root[x.a] = root[x.b] = min(root[x.a], root[x.b])
+    assert root == want
+
+
+def test_pipeline_links_near_fingerprints_first(spark, monkeypatch):
+    """The stage's first links are those of the fingerprints; what they link wrongly is parted, what they miss is found."""
+    base, changed = near_texts(random.Random(7), 200)
+    other, _ = near_texts(random.Random(8), 200)
+    df = spark.createDataFrame([(1, base), (2, changed(1)), (3, changed(3)), (4, other)], "doc_id long, text string")
+    told, linked = [], simhash.near_rows
+    monkeypatch.setattr(simhash, "near_rows", lambda *a, **k: told.append((k["size"], linked(*a, **k))) or told[-1][1])
+    groups = jaccard.similar_groups
+    monkeypatch.setattr(jaccard, "similar_groups", lambda *a, **k: told.append(k["links"].count()) or groups(*a, **k))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 4]
+    assert told[0][0] == jaccard.SHINGLE and told[1] >= 1
+    rows = spark.createDataFrame([(0, base), (1, changed(1)), (2, other)], "r long, text string")
+    wrong = spark.createDataFrame([(0, 2), (1, 2), (2, 9)], "a long, b long")
+    assert {x.row: x.component for x in groups(rows, "r", links=wrong).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_pipeline_drops_similar_texts(spark):
     base, changed = near_texts(random.Random(7), 200)
     other, _ = near_texts(random.Random(8), 200)
