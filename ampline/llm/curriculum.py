@@ -3,7 +3,8 @@
 Each source's share of the tokens is its target; how the share is spread over training time is its schedule, a linear
 weight 1 + a (2t - 1) on t in [0, 1]. The integral t + a (t^2 - t) is the part of the source's target that is due by
 time t. A document copy at offset c of its source's stream trains at the time at which c tokens are due: the inverse
-of the integral. Documents are range-sorted by that time.
+of the integral. Documents are range-sorted by that time, by the time of their first copy or copy by copy; ties stand in
+the order of their places (a hash of key and text), so that reruns agree.
 """
 
 from __future__ import annotations
@@ -64,8 +65,9 @@ def due_time(part: Column, slope: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.abs(slope) < 1e-12, part).otherwise((root - b) / (2 * slope))))
 
 
-def curriculum(df: DataFrame, keep: list[str], text_col: str = "text", source_col: str = "source", key_col: str = "doc_id", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share: float = SHARE, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
-    """keep, size, source_size, target, taken and positions (training times in [0, 1] of a document's copies).
+def schedule(df: DataFrame, keep: list[str], text_col: str = "text", source_col: str = "source", key_col: str = "doc_id", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share: float = SHARE, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
+    """keep, size, source_size, target, taken, positions (training times in [0, 1] of a document's copies) and __place (for
+    ties of the range sort), in no order.
 
     Each document is taken whole 0, 1 or 2 times (at most `most`): all of a source's documents floor(target / size)
     times, and once more those at the front of the source's order, by a hash of key and text, while words remain, so
@@ -74,7 +76,7 @@ def curriculum(df: DataFrame, keep: list[str], text_col: str = "text", source_co
     where their offset falls. Repeated rows share a place in the order and are taken alike, as often as they occur.
     An empty table gives an empty result. Columns of keep that are named like a result are left out.
     """
-    keep = [c for c in keep if c not in ("size", "source_size", "target", "taken", "positions")]
+    keep = [c for c in keep if c not in ("size", "source_size", "target", "taken", "positions", "__place")]
     order = place_in_source(F.col(key_col), F.col(text_col))
     sized = with_size(df.select(*[F.col(c).alias(f"__k_{c}") for c in keep], F.col(source_col).alias("source"), order.alias("__o"), F.col(text_col).alias("__t")), "__t")
     docs = stage(sized.drop("__t"))
@@ -97,11 +99,23 @@ def curriculum(df: DataFrame, keep: list[str], text_col: str = "text", source_co
     slope = F.element_at(F.array(*map(F.lit, map(float, slopes))), F.col("turn") % len(slopes) + 1)
     at = lambda i: due_time(F.least(F.lit(1.0), F.coalesce(F.try_divide(begin + i * F.col("source_size"), F.col("target")), F.lit(0.0))), slope)
     done = joined.withColumn("__c", copies.cast("int")).withColumn("positions", F.when(F.col("__c") > 0, F.transform(F.sequence(F.lit(0), F.col("__c") - 1), at)).otherwise(F.array().cast("array<double>")))
-    return done.select(*[F.col(f"__k_{c}").alias(c) for c in keep], "size", "source_size", "target", (F.col("__c") * F.col("size")).cast("long").alias("taken"), "positions")
+    return done.select(*[F.col(f"__k_{c}").alias(c) for c in keep], "size", "source_size", "target", (F.col("__c") * F.col("size")).cast("long").alias("taken"), "positions", F.col("__o").alias("__place"))
+
+
+def range_sorted(df: DataFrame, *by: Column, partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted, first by `by`, then by place, if they have one."""
+    keys = [*by, *([F.col("__place")] if "__place" in df.columns else [])]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys).drop("__place")
+
+
+def curriculum(df: DataFrame, keep: list[str], *options, partitions: int | None = None, **named) -> DataFrame:
+    """The documents of schedule(), with its options, range-partitioned and sorted by the time of their first copy; those
+    that the mix doesn't take stand last."""
+    return range_sorted(schedule(df, keep, *options, **named), F.get("positions", F.lit(0)).asc_nulls_last(), partitions=partitions)
 
 
 def training_order(scheduled: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row for each copy of a scheduled document, with its position, range-partitioned and sorted by it."""
     copies = scheduled.where(F.size("positions") > 0).select(*[c for c in scheduled.columns if c != "positions"], F.explode("positions").alias("position"))
-    ranged = copies.repartitionByRange(partitions, "position") if partitions else copies.repartitionByRange("position")
-    return ranged.sortWithinPartitions("position")
+    return range_sorted(copies, F.col("position"), partitions=partitions)

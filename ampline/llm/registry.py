@@ -61,6 +61,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order in which they are first trained on; those that the mix leaves out last."""
     plan = curriculum.curriculum(table(spark, sf_dir, "documents"), ["doc_id"])
     first = F.round(F.get("positions", F.lit(0)), 9) + F.lit(0.0)
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", first.alias("first_position"))

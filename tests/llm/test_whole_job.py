@@ -4,9 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ampline.llm import jaccard, simhash, surrogates
+from ampline.llm import curriculum, jaccard, registry, simhash, surrogates
 
 
 def near_texts(rng, n):
@@ -109,6 +110,26 @@ def test_pipeline_links_near_fingerprints_first(spark, monkeypatch):
     assert {x.row: x.component for x in groups(rows, "r", links=wrong).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def test_curriculum_is_range_sorted(spark, tmp_path):
+    """op9's documents stand in the order of their first training time, over partitions too; ties by their place."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 9)) or None, ["a", "a", "b", "c", "c", None, None][rng.randrange(7)]) for i in range(900)]
+    rows += [(None, None, None), rows[3], rows[3]]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op9_curriculum(spark, str(tmp_path)).collect()
+    first = [2 if r.first_position is None else r.first_position for r in got]
+    assert len(got) == len(rows) and first == sorted(first) and 2 in first and len(set(first)) > 300
+    assert [r.doc_id for r in registry.op9_curriculum(spark, str(tmp_path)).collect()] == [r.doc_id for r in got]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    parts = curriculum.curriculum(docs, ["doc_id"], partitions=12).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in parts}) == 12 and "__place" not in parts[0].asDict()
+    out = [r.part for r in parts if not r.positions]
+    assert len(set(out)) > 1  # documents that are left out do not meet in one task
+    copies = curriculum.training_order(curriculum.schedule(docs, ["doc_id"]), 4).collect()
+    assert [r.position for r in copies] == sorted(r.position for r in copies) and "__place" not in copies[0].asDict()
+    assert sum(r["size"] for r in copies) == sum(r.taken for r in got)
+
+
 def test_pipeline_drops_similar_texts(spark):
     base, changed = near_texts(random.Random(7), 200)
     other, _ = near_texts(random.Random(8), 200)
